@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from termforge.llm import secret_scan, sstable, viterbi
+from termforge.llm import langid, minhash, secret_scan, sstable, viterbi
 from termforge.llm.common import table
 
 BPE = "byte_bpe_50k.json"
@@ -16,6 +16,14 @@ def op3_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_table(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(BPE))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -27,5 +35,5 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(ledger.matched(docs))
 
 
-QUERIES = {f.__name__: f for f in (op3_sstable, op8_sentencepiece, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op3_sstable, op5_language_id, op7_minhash, op8_sentencepiece, op9_secret_scan)}
 ORACLE: dict[str, str] = {}
