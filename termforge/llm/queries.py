@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from termforge.llm import langid, minhash, secret_scan, sstable, viterbi
+from termforge.llm import decontam, langid, minhash, secret_scan, sstable, viterbi
 from termforge.llm.common import table
 
 BPE = "byte_bpe_50k.json"
@@ -35,5 +35,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(ledger.matched(docs))
 
 
-QUERIES = {f.__name__: f for f in (op3_sstable, op5_language_id, op7_minhash, op8_sentencepiece, op9_secret_scan)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op3_sstable, op5_language_id, op7_minhash, op8_sentencepiece, op9_secret_scan, op10_decontamination)}
 ORACLE: dict[str, str] = {}
