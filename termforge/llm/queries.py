@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.llm import compaction, decontam, langid, minhash, secret_scan, sstable, viterbi, warc
+from termforge.llm import ann, compaction, decontam, langid, minhash, repeats, secret_scan, sstable, viterbi, warc
 from termforge.llm.common import shared_dir, table
 
 BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(table(spark, sf_dir, "pages"))
 
@@ -32,6 +36,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -53,7 +61,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_warc, op3_sstable, op4_compaction, op5_language_id, op7_minhash, op8_sentencepiece, op9_secret_scan, op10_decontamination)
+    for f in (op1_nearest, op2_warc, op3_sstable, op4_compaction, op5_language_id, op6_repeats, op7_minhash, op8_sentencepiece, op9_secret_scan, op10_decontamination)
 }
 
 
