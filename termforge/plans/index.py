@@ -28,7 +28,11 @@ def kept(papers: DataFrame, config: IndexConfig) -> DataFrame:
 def index(papers: DataFrame, config: IndexConfig = IndexConfig()) -> Index:
     """The index as DataFrames. The lexicon counts all kept papers; only the first of each id is indexed."""
     counted = terms.doc_terms(kept(papers, config), config.text)
-    lex = lexicon.build(counted)
+    return of_terms(counted, lexicon.build(counted))
+
+
+def of_terms(counted: DataFrame, lex: DataFrame) -> Index:
+    """The index of given (document, word) counts and their lexicon."""
     fwd = forward.build(counted, lex)
     return Index(lex, fwd, inverted.build(fwd))
 

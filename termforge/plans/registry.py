@@ -5,16 +5,16 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.config import IndexConfig, TextConfig
+from termforge.config import TextConfig
 from termforge.functions import stemmer, text
 from termforge.operators import barrels, forward, inverted, lexicon, search, terms
-from termforge.plans.index import index
+from termforge.plans.index import of_terms
 from termforge.sources import papers as source
 
-ALL = IndexConfig(max_docs=None)
 WORDS = ("ci", "de", "en", "la", "der", "virus", "notaword")
 DOC_IDS = (0, 1, 7, 42, 10**12)
 TERM_QUERIES = tuple((d, w) for d in DOC_IDS for w in (0, 1, 10**9))
@@ -31,11 +31,13 @@ def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _terms(spark, sf_dir, config: TextConfig = TextConfig()):
-    return terms.doc_terms(_papers(spark, sf_dir), config)
+    """The one heavy stage, kept: all queries over the same tables read it from there (spilling to disk)."""
+    return terms.doc_terms(_papers(spark, sf_dir), config).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _index(spark, sf_dir):
-    return index(_papers(spark, sf_dir), ALL)
+    counted = _terms(spark, sf_dir)
+    return of_terms(counted, lexicon.build(counted).persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def clean_text(spark, sf_dir):
