@@ -40,7 +40,7 @@ LENGTH = 200
 GRAM = 32
 REACH = (LENGTH - GRAM) // 2  # 84: a stretch starts at most so far before its core
 CORE = LENGTH - REACH  # 116
-BITS = 27
+BITS = 26
 LARGE = 4096
 
 
@@ -120,9 +120,9 @@ def cores(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _bitmap(hashes: DataFrame) -> np.ndarray:
     """A bitmap of BITS cells in which the 64-bit ``hashes`` (column h) are set."""
     cell = F.shiftrightunsigned("h", 64 - BITS)
-    words = hashes.select(F.shiftright(cell, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITS}) & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    words = hashes.select(F.shiftright(cell, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITS}) & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     out = np.zeros(1 << (BITS - 6), np.uint64)
-    out[words["w"].to_numpy()] = words["m"].to_numpy().astype(np.int64).view(np.uint64)
+    out[words["w"].to_numpy()] = words["m"].to_numpy().view(np.uint64)
     return out
 
 
