@@ -45,8 +45,8 @@ def export_barrels_csv(assigned: DataFrame, path: str) -> None:
 
 def save_bodies_text(papers: DataFrame, path: str) -> None:
     """All non-empty bodies as text, each followed by an end mark."""
-    text = F.concat("body_text", F.lit("\n\n---END OF DOCUMENT---\n\n"))
-    papers.where("body_text <> ''").select(text.alias("value")).write.mode("overwrite").text(path, lineSep="")
+    text = F.concat("body_text", F.lit("\n\n---END OF DOCUMENT---\n"))  # the line separator adds the last line feed
+    papers.where("body_text <> ''").select(text.alias("value")).write.mode("overwrite").text(path, lineSep="\n")
 
 
 # ---------------------------------------------------------------- packed binary formats
