@@ -1,0 +1,39 @@
+import random
+
+from termforge.llm import langid, secret_scan
+
+import corpus_pipeline
+from tests.llm.test_texts import model_spans, shingles
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_stages_do_what_they_say(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rng = random.Random(1)
+    extra = [(900001, None, "en", "s", 0), (900002, "12 34 !?", "en", "s", 8), (900003, None, None, None, None)]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    steps = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, DATA).cache()
+        assert after.columns == list(corpus_pipeline.COLUMNS)
+        steps[name] = {r["doc_id"]: r for r in after.collect()}
+        before, docs = docs, after
+        ids = {r["doc_id"] for r in before.select("doc_id").collect()}
+        assert set(steps[name]) <= ids and after.count() == len(steps[name])
+    assert not {900001, 900002, 900003} & set(steps["language_id"])
+    kept = list(steps["near_dedup"].values())
+    for _ in range(3000):
+        a, b = rng.sample(kept, 2)
+        x, y = shingles(a["text"]), shingles(b["text"])
+        assert 100 * len(x & y) < 80 * len(x | y)
+    for i, r in steps["secrets"].items():
+        assert not model_spans(r["text"])
+        assert r["n_chars"] == (len(r["text"]) if r["text"] != steps["decontamination"][i]["text"] else steps["decontamination"][i]["n_chars"])
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+    assert len(last) == len(steps["secrets"]) and all(r["round_trip"] for r in last)
+
+
+def test_names_of_the_parts():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "secrets", "piece_encoding"]
+    assert langid.UND == "und" and len(secret_scan.RULES) == 4
