@@ -49,8 +49,8 @@ FINDINGS = "blob string, kind string, version int, ord int, base boolean, start
 
 
 def blobs_of(versions: DataFrame, text: str = "text") -> DataFrame:
-    """``versions`` with the blob address of each row's text in column ``blob``."""
-    return versions.withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    """``versions`` with the blob address of each row's text in column ``blob``; columns blob and found are replaced."""
+    return versions.drop("blob", "found").withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
 
 def spans_of(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

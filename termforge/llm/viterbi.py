@@ -216,8 +216,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", check: bool = False)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:
-    """``encoded`` with the text of its ids (null ids: null) in column ``out``."""
+    """``encoded`` with the text of its ids (null ids: null) in column ``out``, replaced if there."""
     bounded_batches(encoded.sparkSession)
+    encoded = encoded.drop(out)
     at, own = encoded.columns.index(ids), encoded.columns
 
     def run(batches):
