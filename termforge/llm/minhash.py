@@ -30,7 +30,7 @@ from termforge.llm.common import bounded_batches, shared_dir, written
 
 WIDTH = 5
 BANDS, ROWS = 24, 4
-SKETCH_BITS = 20
+SKETCH_BITS = 18
 PAIRED = 32  # buckets up to this size become pairs of rows; larger ones are compared in cells
 CELL = 256
 _rng = np.random.default_rng(20240229)
@@ -154,7 +154,7 @@ def frequency_sketch(sets: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["cell", "n"])
 
     out = np.zeros(1 << SKETCH_BITS, np.int64)
-    summed = sets.select("shingles").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    summed = sets.select("shingles").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out[summed["cell"].to_numpy()] = summed["n"].to_numpy()
     return out
 
