@@ -31,8 +31,6 @@ from termforge.llm.common import bounded_batches
 
 letter = re.compile(r"[^\W\d_]")
 UND = "und"
-BATCH_BYTES = 4 << 20
-TABLE = 1 << 24
 
 
 @dataclass
@@ -52,27 +50,21 @@ def gram_codes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Scanner:
-    """Finds a text's distinct n-grams through direct tables, without sorting."""
+    """Marks which of the known n-grams a text has."""
 
     def __init__(self, grams):
+        self.grams = grams
         self.bases = np.cumsum([0, *(len(g) for g in grams)])
-        self.place, self.mark = [], np.zeros(TABLE, np.int32)
-        for g, base, size in zip(grams, self.bases, (1 << 8, 1 << 16, TABLE)):
-            p = np.full(size, -1, np.int32)
-            p[g] = base + np.arange(len(g), dtype=np.int32)
-            self.place.append(p)
 
     def presence(self, text: str, row: np.ndarray) -> int:
         """Set ``row`` at the known n-grams of the text; returns how many distinct n-grams it has."""
         n = 0
-        for codes, place in zip(gram_codes(text), self.place):
-            if len(codes):
-                at = np.arange(len(codes), dtype=np.int32)
-                self.mark[codes] = at
-                own = codes[self.mark[codes] == at]
-                n += len(own)
-                at = place[own]
-                row[at[at >= 0]] = 1
+        for codes, known, base in zip(gram_codes(text), self.grams, self.bases):
+            own = np.unique(codes)
+            n += len(own)
+            if len(known) and len(own):
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                row[base + at[known[at] == own]] = 1
         return n
 
 
