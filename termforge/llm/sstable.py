@@ -19,16 +19,16 @@ their text; an empty table gives no shards and no rows; other columns are ignore
 from __future__ import annotations
 
 import bisect
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +42,7 @@ BLOCK_BYTES = 64 << 10
 RESTART = 16
 BLOOM_BITS_PER_KEY = 10
 BLOOM_HASHES = 7
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_200_000
 
 
 # ---------------------------------------------------------------- keys and entries
@@ -183,65 +183,126 @@ class Reader:
 # ---------------------------------------------------------------- encoding
 
 
+class Codes(dict):
+    """A dense code for every distinct key, given at its first lookup; ``new`` gathers the keys."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
+
+
+# How byte-level BPE cuts text into pieces, and the characters that stand for bytes in its vocabulary.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+CLOSING = {".", ","}
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+class Pieces(dict):
+    """The ids of every distinct piece, found by the library's model at its first lookup."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def __missing__(self, piece: str) -> list[int]:
+        plain = piece.isascii() and piece.isprintable()
+        shown = piece.replace(" ", BYTE_CHARS[32]) if plain else piece.encode().decode("latin-1").translate(BYTE_CHARS)
+        ids = self[piece] = [t.id for t in self.model.tokenize(shown)]
+        return ids
+
+
 class WordwiseEncoder:
     """Byte-level BPE of the tokenizers library, with each distinct run between spaces encoded once.
 
     The pre-tokenizer of such a vocabulary never puts a non-space before a space into one piece, so a text may be
     cut before every single space that stands between two non-white characters; what the library makes of the
-    runs one by one is what it makes of the text. Where white space meets white space nothing is cut. A tokenizer
+    runs one by one is what it makes of the text, and so for the pieces inside a run. Where white space meets white space nothing is cut. A tokenizer
     with any other pre-tokenizer gets whole texts.
-    """
 
-    near_white = re.compile(r" \s|\s ")
+    Runs are cached without the space in front of them; a text's first run, which has none, is encoded by itself.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.n_vocab = self.lib.get_vocab_size(with_added_tokens=True)
         spec = self.lib.to_str()
         self.wordwise = '"pre_tokenizer":{"type":"ByteLevel","add_prefix_space":false' in spec and '"use_regex":true' in spec and '"normalizer":null' in spec
         self._reset()
 
     def _reset(self) -> None:
-        self.code: dict[str, int] = {}
-        self.flat, self.off = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
-
-    def _runs(self, text: str) -> list[str]:
-        if not self.wordwise:
-            return [text]
-        parts = text.split(" ")
-        parts[1:] = [" " + p for p in parts[1:]]
-        if self.near_white.search(text) or parts[0] == "" or text[-1].isspace():
-            merged = [parts[0]]
-            for p in parts[1:]:
-                last = merged[-1]
-                if not last or last[-1].isspace() or len(p) == 1 or p[1].isspace():
-                    merged[-1] = last + p
-                else:
-                    merged.append(p)
-            parts = merged
-        return parts
+        self.codes, self.pieces = Codes(), Pieces(self.lib.model)
+        self.flat, self.off, self.odd = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def _lib(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for i in range(0, len(texts), 20_000) for e in self.lib.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
+
+    def _run(self, run: str) -> list[int]:
+        """The ids of one run: its pieces by the library's BPE model, each distinct piece once."""
+        if any(t in run for t in self.special):
+            return self.lib.encode(run, add_special_tokens=False).ids
+        get, parts = self.pieces.__getitem__, PIECE.findall(run)
+        return get(parts[0]) if len(parts) == 1 else [i for p in parts for i in get(p)]
+
+    def _learn(self) -> None:
+        """Encode the runs seen since the last call."""
+        new, self.codes.new = self.codes.new, []
+        get, ids, odd = self.pieces.__getitem__, [], []
+        for k, r in enumerate(new):
+            if r.isalpha():  # one piece
+                ids.append(get(" " + r))
+            elif r[-1:] in CLOSING and r[:-1].isalpha():  # two
+                ids.append(get(" " + r[:-1]) + get(r[-1]))
+            else:
+                ids.append(self._run(" " + r))
+                if r == "" or r[0].isspace() or r[-1].isspace():
+                    odd.append(k)  # next to such a run white space meets white space
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+        self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(sizes)])
+        marks = np.zeros(len(new), bool)
+        marks[odd] = True
+        self.odd = np.concatenate([self.odd, marks])
+
+    @staticmethod
+    def _merged(parts: list[str]) -> list[str]:
+        """``parts``, as cut at single spaces, joined again wherever white space meets white space."""
+        out = [parts[0]]
+        for p in parts[1:]:
+            last = out[-1]
+            if last == "" or last[-1].isspace() or p == "" or p[0].isspace():
+                out[-1] = f"{last} {p}"
+            else:
+                out.append(p)
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if len(self.code) > CACHE_WORDS:
+        if not self.wordwise:
+            yield from (np.array(x, np.uint32) for x in self._lib(texts))
+            return
+        if len(self.codes) > CACHE_WORDS:
             self._reset()
-        runs = [self._runs(t) if t else [] for t in texts]
-        new = list({r for x in runs for r in x}.difference(self.code))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            ids = [e.ids for e in self.lib.encode_batch_fast(part, add_special_tokens=False)]
-            base = len(self.code)
-            self.code.update(zip(part, range(base, base + len(part))))
-            self.flat.append(np.fromiter((x for e in ids for x in e), np.uint32))
-            self.off.append(self.off[-1][-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))))
-        self.flat, self.off = [np.concatenate(self.flat)], [np.concatenate(self.off)]
-        flat, off, get = self.flat[0], self.off[0], self.code.__getitem__
-        for x in runs:
-            c = np.fromiter(map(get, x), np.int64, len(x))
+        get = self.codes.__getitem__
+        parts = [t.split(" ") for t in texts]
+        codes = [np.fromiter(map(get, p[1:]), np.int64, len(p) - 1) for p in parts]
+        self._learn()
+        for k, (p, c) in enumerate(zip(parts, codes)):
+            if p[0] == "" or p[0][-1].isspace() or self.odd[c].any():
+                parts[k] = p = self._merged(p)
+                codes[k] = np.fromiter(map(get, p[1:]), np.int64, len(p) - 1)
+        self._learn()
+        first = self._lib([p[0] for p in parts])
+        off = self.off
+        for head, c in zip(first, codes):
             n = off[c + 1] - off[c]
             at = np.repeat(off[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            yield flat[at]
+            yield np.concatenate([np.array(head, np.uint32), self.flat[at]])
 
 
 _encoders: dict[str, WordwiseEncoder] = {}
