@@ -15,7 +15,8 @@ the stretch. Equal stretches hold equal cores at equal places, so stretches can
 4. What repeats is joined back to all places, merged per document, and cut.
 
 Suffix groups are bounded: a core with more than ``LARGE`` distinct contexts is compared by the hashes of its 85
-stretches instead, counted with partial sums, so no task holds it. The result is the same.
+stretches instead, counted with partial sums, so no task holds it. The result is the same. ``maximal_repeats`` gives the
+groups themselves; to cut texts only how far they reach is needed, which ``reach_of`` finds on the same tree.
 
 Defined cases: null text counts as empty; a text shorter than the length has no repeats; rows with equal doc_id or equal
 text are separate places; an empty table gives no rows; other columns pass by. Cutting may part a multi-byte character;
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termforge.llm.common import bounded_batches, written
+from termforge.llm.common import bounded_batches, remove, shared_dir, written
 from termforge.llm.winnow import anchors
 
 LENGTH = 200
@@ -87,15 +89,44 @@ def maximal_repeats(rights: list[bytes], lefts: list[bytes], least: int):
                 yield left, right, members[lo : hi + 1]
 
 
-def reach_of(contexts: list[tuple[bytes, int]]) -> list[list[tuple[int, int]]]:
-    """For each context (bytes, length before the core) the stretches (bytes before, bytes behind the core) that repeat in another."""
-    lefts = [c[:n][::-1] for c, n in contexts]
-    rights = [c[n + CORE :] for c, n in contexts]
-    out: list[set] = [set() for _ in contexts]
-    for left, right, members in maximal_repeats(rights, lefts, REACH):
-        for m in members:
-            out[m].add((left, right))
-    return [[x for x in s if not any(y != x and y[0] >= x[0] and y[1] >= x[1] for y in s)] if len(s) > 1 else list(s) for s in out]
+def reach_of(contexts: list[tuple[bytes, int]]) -> list[tuple[int, int] | None]:
+    """For each context (bytes, length before the core) how far the repeats around its core reach: bytes before and behind.
+
+    All these repeats hold the core, so their union is one stretch. The prefix tree is built from its leaves up, by
+    joining neighbours of the suffix array from the longest common prefix down; a node keeps its suffixes in the order of
+    their left extensions, the smaller child's inserted into the larger's. Only what is inserted and its neighbours
+    there can reach further left with this prefix than inside a child.
+    """
+    n = len(contexts)
+    rights = [c[k + CORE :] for c, k in contexts]
+    lefts = [c[:k][::-1] for c, k in contexts]
+    order = sorted(range(n), key=rights.__getitem__)
+    by_left = sorted(range(n), key=lefts.__getitem__)
+    rank = [0] * n
+    for k, m in enumerate(by_left):
+        rank[m] = k
+    number = [int.from_bytes(x.ljust(REACH, b"\0"), "big") for x in lefts]
+    size = [len(x) for x in lefts]
+    joins = sorted(((_shared(rights[a], rights[b]), k) for k, (a, b) in enumerate(zip(order, order[1:]), 1)), reverse=True)
+    before, behind = [-1] * n, [-1] * n
+    node = {k: [k, k, [rank[m]]] for k, m in enumerate(order)}  # by both end positions: first, last, left ranks
+    ends = dict(node)
+    for right, k in joins:
+        one, two = ends[k - 1], node[k]
+        big, few = (one[2], two[2]) if len(one[2]) >= len(two[2]) else (two[2], one[2])
+        for r in few:
+            at = bisect_left(big, r)
+            x = by_left[r]
+            for near in big[max(0, at - 1) : at + 1]:
+                y = by_left[near]
+                left = min(REACH - ((number[x] ^ number[y]).bit_length() + 7) // 8, size[x], size[y])
+                if left + right >= REACH:
+                    for z in (x, y):
+                        before[z], behind[z] = max(before[z], left), max(behind[z], right)
+            big.insert(at, r)
+        joined = [one[0], two[1], big]
+        node[one[0]] = ends[two[1]] = joined
+    return [None if x < 0 else (x, y) for x, y in zip(before, behind)]
 
 
 # ---------------------------------------------------------------- Spark
@@ -171,29 +202,39 @@ def _places(shared):
     return run
 
 
-def _emit(shared):
-    """(key, ctx, bytes, left) of the places that the bitmap knows."""
+def _emitted(shared, stretches: bool):
+    """Of the picked contexts, those of ordinary cores as (key, ctx, raw, left), or those of large ones as stretches."""
 
     def run(batches):
-        bitmap = shared.value
+        picked, large = shared.value
+        if stretches and not large.any():
+            return
         for batch in batches:
-            text, key, ctx, raw, left = None, [], [], [], []
+            rows: list = []
             at, k, c, ids = (batch.column(i).to_pylist() for i in range(1, 5))
             for i, t in enumerate(batch.column(0)):
-                use = np.flatnonzero(_known(bitmap, np.array(ids[i], np.int64).view(np.uint64))).tolist() if ids[i] else []
-                if use:
-                    text = t.as_py()
-                    for u in use:
-                        x, n = _context(text, at[i][u])
-                        key.append(k[i][u])
-                        ctx.append(c[i][u])
-                        raw.append(x)
-                        left.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ctx, pa.int64()), pa.array(raw, pa.binary()), pa.array(left, pa.int32())], names=["key", "ctx", "raw", "left"])
+                if not ids[i]:
+                    continue
+                wide = _known(large, np.array(k[i], np.int64).view(np.uint64))
+                use = np.flatnonzero(_known(picked, np.array(ids[i], np.int64).view(np.uint64)) & (wide == stretches)).tolist()
+                text = t.as_py() if use else None
+                for u in use:
+                    rows.append((k[i][u], c[i][u], *_context(text, at[i][u])))
+            if stretches:
+                rows = [x for r in rows for x in _stretches(*r)]
+            cols = list(zip(*rows)) or [()] * 4
+            names, kinds = (("key", "ctx", "before", "h"), (pa.int64(), pa.int64(), pa.int32(), pa.int64())) if stretches else (("key", "ctx", "raw", "left"), (pa.int64(), pa.int64(), pa.binary(), pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(cols, kinds)], names=list(names))
 
     return run
 
 
+def _stretches(key: int, ctx: int, raw: bytes, left: int):
+    """Every stretch around the core: (key, ctx, bytes before the core, hash)."""
+    for s in range(max(0, left - REACH), min(left, len(raw) - LENGTH) + 1):
+        yield key, ctx, left - s, xxhash.xxh3_64_intdigest(raw[s : s + LENGTH], left - s) - (1 << 63)
+
+
 _REACH = "key long, ctx long, before int, behind int"
 
 
@@ -206,9 +247,9 @@ def _scan_groups(batches):
         for core in cores_:  # one, unless hashes collide
             own = [c for c in ctx if group[c][0][group[c][1] : group[c][1] + CORE] == core]
             if len(own) > 1:
-                for c, spans in zip(own, reach_of([group[c] for c in own])):
-                    for before, behind in spans:
-                        yield key, c, before, behind
+                for c, found in zip(own, reach_of([group[c] for c in own])):
+                    if found:
+                        yield key, c, *found
 
     def rows(found):
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found) if found else ((), (), (), ()), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["key", "ctx", "before", "behind"])
@@ -229,20 +270,6 @@ def _scan_groups(batches):
     yield rows(out)
 
 
-def _stretches(batches):
-    """Every stretch around a core of a large group: (key, ctx, before, hash of the stretch)."""
-    digest = xxhash.xxh3_64_intdigest
-    for batch in batches:
-        key, ctx, before, h = [], [], [], []
-        for k, c, raw, left in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            for s in range(max(0, left - REACH), min(left, len(raw) - LENGTH) + 1):
-                key.append(k)
-                ctx.append(c)
-                before.append(left - s)
-                h.append(digest(raw[s : s + LENGTH], left - s) - (1 << 63))
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ctx, pa.int64()), pa.array(before, pa.int32()), pa.array(h, pa.int64())], names=["key", "ctx", "before", "h"])
-
-
 def _release(spark) -> None:
     gc.collect()
     spark._jvm.System.gc()
@@ -257,30 +284,34 @@ def marked(docs: DataFrame, large: int = LARGE) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     places = written(rows.mapInArrow(_places(again), _PLACES), "places")
     _release(spark)
+    kept = [shared_dir(spark, "contexts"), shared_dir(spark, "reach")]
     some = places.where("text is not null")
     each = some.select("uid", F.explode("cores").alias("c")).select("uid", "c.at", "c.key", "c.ctx")
     ids = F.xxhash64("uid", "at")
     contexts = each.withColumn("id", ids).groupBy("key", "ctx").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    contexts = written(contexts, "contexts")
-    several = written(contexts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "several")
-    picked = spark.sparkContext.broadcast(_bitmap(contexts.join(several, "key", "left_semi").select(F.col("low").alias("h"))))
+    contexts = written(contexts, "contexts", kept[0])
+    # a core all of whose contexts occur again needs no search: they repeat as a whole
+    open_ = contexts.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("low") == F.col("high")).alias("lone")).where("n > 1 and lone > 0")
+    open_ = written(open_.select("key", "n"), "open")
+    picked = _bitmap(contexts.join(open_, "key", "left_semi").select(F.col("low").alias("h")))
+    shared = spark.sparkContext.broadcast((picked, _bitmap(open_.where(F.col("n") > large).select(F.col("key").alias("h")))))
     _release(spark)
     flat = some.select(
         "text", F.expr("cores.at").alias("at"), F.expr("cores.key").alias("key"), F.expr("cores.ctx").alias("ctx"), F.expr("transform(cores, c -> xxhash64(uid, c.at))").alias("ids")
     )
-    texts = flat.mapInArrow(_emit(picked), "key long, ctx long, raw binary, left int")
-    sized = texts.join(several, "key")
-    small = sized.where(F.col("n") <= large).select("key", "ctx", "raw", "left").repartition("key").sortWithinPartitions("key").mapInArrow(_scan_groups, _REACH)
-    wide = sized.where(F.col("n") > large).select("key", "ctx", "raw", "left").mapInArrow(_stretches, "key long, ctx long, before int, h long")
+    small = flat.mapInArrow(_emitted(shared, False), "key long, ctx long, raw binary, left int").repartition("key").sortWithinPartitions("key").mapInArrow(_scan_groups, _REACH)
+    wide = flat.mapInArrow(_emitted(shared, True), "key long, ctx long, before int, h long")
     both = wide.groupBy("key", "before", "h").agg(F.min("ctx").alias("low"), F.max("ctx").alias("high")).where("low <> high").select("key", "before", "h")
     wide = wide.join(both, ["key", "before", "h"], "left_semi").select("key", "ctx", "before", (F.lit(REACH) - F.col("before")).alias("behind"))
     whole = contexts.where("low <> high").select("key", "ctx", F.lit(REACH).alias("before"), F.lit(REACH).alias("behind"))
     reach = small.unionByName(wide).unionByName(whole).groupBy("key", "ctx").agg(F.collect_set(F.struct("before", "behind")).alias("reach"))
-    reach = written(reach, "reach")
+    reach = written(reach, "reach", kept[1])
     _release(spark)
     met = each.join(reach, ["key", "ctx"]).select("uid", F.expr("transform(reach, r -> struct(at - r.before as lo, at + %d + r.behind as hi))" % CORE).alias("spans"))
     spans = met.select("uid", F.inline("spans")).distinct().groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
     spans = written(spans, "spans")
+    for old in kept:
+        remove(spark, old)
     _release(spark)
     return places.drop("cores").join(spans, "uid", "left")
 
