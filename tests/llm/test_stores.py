@@ -7,7 +7,7 @@ from termforge.llm.common import shared_dir
 
 
 def test_small_shards_merge_and_every_version_reads_whole(spark):
-    store = compaction.Store(spark, shared_dir(spark, "store"), target=40_000, floor=2_000, fanout=3)
+    store = compaction.Store(spark, shared_dir(spark, "store"), target=400_000, floor=2_000, fanout=3)
     for k in range(7):
         store.append(spark.range(k * 500, k * 500 + 500).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x")).coalesce(1))
     before = store.manifest()

@@ -38,8 +38,7 @@ def near_rows():
     return [(i, t, 1) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("percent", [85, 80])
-@pytest.mark.parametrize("paired", [minhash.PAIRED, 2])
+@pytest.mark.parametrize(("percent", "paired"), [(85, minhash.PAIRED), (80, 2)])
 def test_components_equal_brute_force(spark, monkeypatch, percent, paired):
     monkeypatch.setattr(minhash, "PAIRED", paired)
     monkeypatch.setattr(minhash, "CELL", 8 if paired == 2 else 256)
