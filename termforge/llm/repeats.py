@@ -304,11 +304,11 @@ def marked(docs: DataFrame, large: int = LARGE) -> DataFrame:
     both = wide.groupBy("key", "before", "h").agg(F.min("ctx").alias("low"), F.max("ctx").alias("high")).where("low <> high").select("key", "before", "h")
     wide = wide.join(both, ["key", "before", "h"], "left_semi").select("key", "ctx", "before", (F.lit(REACH) - F.col("before")).alias("behind"))
     whole = contexts.where("low <> high").select("key", "ctx", F.lit(REACH).alias("before"), F.lit(REACH).alias("behind"))
-    reach = small.unionByName(wide).unionByName(whole).groupBy("key", "ctx").agg(F.collect_set(F.struct("before", "behind")).alias("reach"))
+    reach = small.unionByName(wide).unionByName(whole).groupBy("key", "ctx").agg(F.max("before").alias("before"), F.max("behind").alias("behind"))  # all hold the core: one stretch
     reach = written(reach, "reach", kept[1])
     _release(spark)
-    met = each.join(reach, ["key", "ctx"]).select("uid", F.expr("transform(reach, r -> struct(at - r.before as lo, at + %d + r.behind as hi))" % CORE).alias("spans"))
-    spans = met.select("uid", F.inline("spans")).distinct().groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    met = each.join(reach, ["key", "ctx"]).select("uid", F.expr("at - before").alias("lo"), F.expr("at + %d + behind" % CORE).alias("hi"))
+    spans = met.distinct().groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
     spans = written(spans, "spans")
     for old in kept:
         remove(spark, old)
