@@ -15,15 +15,17 @@ from termforge.llm import decontam, langid, minhash, secret_scan, viterbi
 from termforge.llm.common import table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-MIN_LANGUAGE_SCORE = 0.3
 PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without a letter or with a score under the least one go."""
+    """Documents in a learned language; those without a letter go, and all if nothing is learned.
+
+    The score falls with the length of a text, clean or not, so there is no least score.
+    """
     own = docs.select(*COLUMNS)
     said = langid.predict(own, langid.learn(own), ("_lang", "_score"))
-    return said.where((F.col("_lang") != langid.UND) & (F.col("_score") >= MIN_LANGUAGE_SCORE)).select(*COLUMNS)
+    return said.where(F.col("_lang") != langid.UND).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

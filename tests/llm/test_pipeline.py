@@ -37,3 +37,11 @@ def test_stages_do_what_they_say(spark):
 def test_names_of_the_parts():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "secrets", "piece_encoding"]
     assert langid.UND == "und" and len(secret_scan.RULES) == 4
+
+
+def test_short_clean_texts_stay(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = ["De.", "Avec.", "This.", "I", "Und so", 'token = "2abcdefgh0123456789abcdefgh012345" From there']
+    extra = spark.createDataFrame([(910000 + i, t, None, "s", len(t)) for i, t in enumerate(texts)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(extra), DATA).collect()}
+    assert {910000 + i for i in range(len(texts))} <= kept
