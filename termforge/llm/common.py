@@ -1,7 +1,8 @@
-"""What the training-data operators share: the shared folder, written tables, bounded Arrow batches."""
+"""What the training-data operators share: the shared folder, written tables, bounded Arrow batches, joins with hot keys."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -14,10 +15,14 @@ _own: list[str] = []
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is missing (a local session, as in tests) a temporary folder stands in for it.
+    Only where that setting is missing in a local session, as in tests, a temporary folder stands in for it;
+    on a cluster the setting must be there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="termforge-"))
         root = _own[0]
@@ -28,7 +33,7 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = path or shared_dir(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -38,6 +43,50 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """Written tables of one computation, deleted by name after their last reader or all together."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_dir(self.spark, name)
+        out = written(df, name, path)
+        self.drop(name)
+        self.paths[name] = path
+        return out
+
+    def drop(self, *names: str) -> None:
+        """Delete these tables, and let Spark notice that nothing refers any more to the shuffle files that led to them."""
+        for path in (found := [self.paths.pop(n) for n in names if n in self.paths]):
+            remove(self.spark, path)
+        if found:
+            gc.collect()
+            self.spark._jvm.System.gc()
+
+    def clear(self) -> None:
+        self.drop(*list(self.paths))
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has each ``key`` once, dealing out a key that has very many rows.
+
+    A key with more rows than an even share of a partition counts as hot, so there are fewer hot keys than partitions and
+    their table is broadcast. A hot key's row of ``one`` is repeated for every share of its rows.
+    ``many`` is read twice: it should be a written table.
+    """
+    spark, n = many.sparkSession, pieces(many.sparkSession)
+    share = -(-many.count() // n)
+    hot = many.groupBy(key).count().where(F.col("count") > max(share, 1)).select(F.col(key).alias("_hot"), F.ceil(F.col("count") / max(share, 1)).cast("int").alias("_copies")).collect()
+    if not hot:
+        return many.join(one, key, how)
+    table = F.broadcast(spark.createDataFrame(hot, many.select(F.col(key).alias("_hot"), F.lit(1).alias("_copies")).schema))
+    salt = F.when(F.col("_copies").isNull(), 0).otherwise(F.pmod(F.xxhash64(*many.columns), F.col("_copies"))).cast("int")
+    left = many.join(table, F.col(key) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot", "_copies")
+    right = one.join(table, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_hot", "_copies")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
     """Bound the Arrow batches that go to Python in rows and in bytes, as texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -48,10 +97,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_or_empty(col: str = "text"):
-    return F.coalesce(F.col(col), F.lit(""))
-
-
 def pieces(spark: SparkSession) -> int:
     """Partitions for a shuffle whose rows are then handed to Python."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

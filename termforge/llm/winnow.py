@@ -1,28 +1,20 @@
-"""Winnowing: positions of a byte string chosen by content, at least one in every stretch of ``span`` bytes."""
+"""Winnowing: positions of a byte string chosen by content, at least one in every stretch of ``span`` bytes.
+
+A string shorter than ``span``, the empty one too, has no such stretch and no positions.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-_rng = np.random.default_rng(20240301)
-_TABLE = _rng.integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
-_BASE = int(_rng.integers(0, 1 << 62)) * 4 + 3
-_INV = pow(_BASE, -1, 1 << 64)
-_pow = {"p": np.ones(1, np.uint64), "q": np.ones(1, np.uint64)}
-
+from termforge.llm.rolling import Rolling
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    while len(_pow["p"]) < n:
-        m = len(_pow["p"])
-        _pow["p"] = np.concatenate([_pow["p"], _pow["p"] * np.uint64(pow(_BASE, m, 1 << 64))])
-        _pow["q"] = np.concatenate([_pow["q"], _pow["q"] * np.uint64(pow(_INV, m, 1 << 64))])
-    return _pow["p"][:n], _pow["q"][:n]
+_ROLL = Rolling(20240301)
 
 
 def gram_hashes(b: np.ndarray, k: int) -> np.ndarray:
     """The mixed 64-bit hash of each ``k`` consecutive bytes."""
-    p, q = _powers(len(b) + 1)
-    g = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[b] * p[: len(b)])])
+    g, q = _ROLL.sums(b)
     x = (g[k:] - g[:-k]) * q[: len(b) - k + 1]
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))

@@ -62,6 +62,18 @@ def test_components_equal_brute_force(spark, monkeypatch, percent, paired):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(sets[i]), top(i), top(i) == i)
 
 
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    a, b, c = (prose(random.Random(k), 60) for k in range(3))
+    near = a + " end"
+    rows = [(1, a, "en"), (5, a, "en"), (5, b, "en"), (None, a, "en"), (None, c, None), (None, c, None), (7, near, "x"), (8, None, "x"), (8, None, "x"), (9, "", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'q' as node", "1 as key")
+    kept = minhash.distinct_documents(df, 80)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (None, c), (8, None), (8, None), (9, "")], key=str)
+    assert minhash.distinct_documents(df.limit(0), 80).count() == 0
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), 85).count() == 0
 
