@@ -8,7 +8,7 @@ Nulls, empty texts, repeated rows and clashing extra columns are handled as the
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termforge.llm import decontam, langid, minhash, secret_scan, viterbi
@@ -29,18 +29,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of smallest doc_id (of repeated rows, one)."""
-    kept = minhash.near_duplicates(docs, PERCENT).where("kept").select("doc_id").distinct()
-    rows = docs.select(*COLUMNS).join(kept.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "n_chars"))
-    return rows.withColumn("_k", first).where("_k = 1 or doc_id is null").select(*COLUMNS)
+    """One row of each group of near-duplicates: that of the smallest doc_id, then of the smallest hash of the row; ids may repeat or be null."""
+    return minhash.distinct_documents(docs.select(*COLUMNS), PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
-    bad = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"), PERCENT).select("doc_id").distinct()
-    rows = docs.select(*COLUMNS)
-    return rows.join(bad.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """Documents that hold no passage of the benchmark; rows of one id are judged each by its own text."""
+    return decontam.clean_documents(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), PERCENT)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
