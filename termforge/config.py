@@ -24,7 +24,7 @@ class IndexConfig:
     """``max_docs`` keeps the first papers in order (None: all); ``num_barrels`` shards the vocabulary by id range."""
 
     text: TextConfig = TextConfig()
-    max_docs: int | None = 2000
+    max_docs: int | None = None
     num_barrels: int = 4
 
     def __post_init__(self):

@@ -10,15 +10,13 @@ from termforge.config import TextConfig
 # The stop words. Those with an apostrophe never meet a word of the pipeline, in which it is a separator.
 STOP_WORDS = tuple(
     """
-a about above after again against all am an and any are as at be because been before being below between both but by
-cannot could did do does doing down during each few for from further had has have having he her here hers herself him
-himself his how i if in into is it its itself me more most my myself no nor not of off on once only or other ought our
-ours ourselves out over own same she should so some such than that the their theirs them themselves then there these
-they this those through to too under until up very was we were what when where which while who whom why with would you
-your yours yourself yourselves
-aren't can't couldn't didn't doesn't don't hadn't hasn't haven't he'd he'll he's here's how's i'd i'll i'm i've isn't
-it's let's mustn't shan't she'd she'll she's shouldn't that's there's they'd they'll they're they've wasn't we'd we'll
-we're we've weren't what's when's where's who's why's won't wouldn't you'd you'll you're you've
+a about above after again against all am an and any are aren't as at be because been before being below between both but by can't
+cannot could couldn't did didn't do does doesn't doing don't down during each few for from further had hadn't has hasn't have haven't having
+he he'd he'll he's her here here's hers herself him himself his how how's i i'd i'll i'm i've if in into is isn't it it's its itself
+let's me more most mustn't my myself no nor not of off on once only or other ought our ours ourselves out over own same shan't she
+she'd she'll she's should shouldn't so some such than that that's the their theirs them themselves then there there's these they they'd they'll
+they're they've this those through to too under until up very was wasn't we we'd we'll we're we've were weren't what what's when when's where
+where's which while who who's whom why why's with won't would wouldn't you you'd you'll you're you've your yours yourself yourselves
 """.split()
 )
 PLAIN_STOP_WORDS = tuple(w for w in STOP_WORDS if "'" not in w)

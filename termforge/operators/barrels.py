@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SALTS = 16
+ROWS_PER_TASK = 4_000_000
 
 
 def ranges(postings: DataFrame, num_barrels: int = 4) -> DataFrame:
@@ -37,13 +37,14 @@ def metadata(postings: DataFrame, num_barrels: int = 4) -> DataFrame:
     return own.select("barrel_id", start.alias("start_word_id"), F.least(start + F.col("per_barrel") - 1, F.col("last_id")).alias("end_word_id"), "words", "postings")
 
 
-def write(postings: DataFrame, path: str, num_barrels: int = 4, salts: int = SALTS) -> None:
-    """Shards as Parquet partitions by barrel_id, sorted by word, and their metadata beside them.
+def write(postings: DataFrame, path: str, num_barrels: int = 4, rows_per_task: int = ROWS_PER_TASK) -> None:
+    """Shards as Parquet partitions by barrel_id, sorted by word and document, and their metadata beside them.
 
-    Low barrels hold most postings; each barrel is dealt over ``salts`` tasks by word, so none of them is one task's work.
+    Low barrels hold most postings and a frequent word very many: tasks are ranges over (word, document), as many as the
+    number of postings asks for, so neither a barrel nor a word is one task's work.
     """
-    rows = assigned(postings, num_barrels).withColumn("_salt", F.pmod(F.xxhash64("word_id"), F.lit(salts)))
-    dealt = rows.repartition(num_barrels * salts, "barrel_id", "_salt").sortWithinPartitions("barrel_id", "word_id", "doc_id").drop("_salt")
+    tasks = max(num_barrels, -(-postings.count() // rows_per_task))
+    dealt = assigned(postings, num_barrels).repartitionByRange(tasks, "word_id", "doc_id").sortWithinPartitions("barrel_id", "word_id", "doc_id")
     dealt.write.mode("overwrite").partitionBy("barrel_id").parquet(f"{path}/barrels")
     metadata(postings, num_barrels).coalesce(1).write.mode("overwrite").parquet(f"{path}/barrel_meta")
 

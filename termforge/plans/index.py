@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from termforge.config import IndexConfig
 from termforge.operators import barrels, forward, inverted, lexicon, terms
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Index:
@@ -40,17 +43,23 @@ def of_terms(counted: DataFrame, lex: DataFrame) -> Index:
 def build(papers: DataFrame, path: str, config: IndexConfig = IndexConfig()) -> None:
     """Write the index: doc_terms, lexicon, forward, documents, barrels and barrel_meta under ``path``.
 
-    Texts are read once: everything else is made of the written doc_terms table.
+    Texts are read once: everything else is made of the written doc_terms table. Progress is logged: papers and texts
+    read (observed while they are read), then the size of each table.
     """
     spark = papers.sparkSession
     own = kept(papers, config)
-    terms.doc_terms(own, config.text).write.mode("overwrite").parquet(f"{path}/doc_terms")
+    read = Observation("papers")
+    seen = own.observe(read, F.count("*").alias("papers"), F.count_if(F.col("body_text") != "").alias("with_text"))
+    terms.doc_terms(seen, config.text).write.mode("overwrite").parquet(f"{path}/doc_terms")
+    log.info("read %(papers)d papers, %(with_text)d with text", read.get)
     counted = spark.read.parquet(f"{path}/doc_terms")
     lexicon.build(counted).write.mode("overwrite").parquet(f"{path}/lexicon")
+    log.info("lexicon: %d words", spark.read.parquet(f"{path}/lexicon").count())
     lex = spark.read.parquet(f"{path}/lexicon")
     forward.build(counted, lex).write.mode("overwrite").parquet(f"{path}/forward")
     forward.documents_dim(counted, own).write.mode("overwrite").parquet(f"{path}/documents")
     barrels.write(inverted.build(spark.read.parquet(f"{path}/forward")), path, config.num_barrels)
+    log.info("barrels: %d postings", spark.read.parquet(f"{path}/barrels").count())
 
 
 def load(spark: SparkSession, path: str) -> Index:

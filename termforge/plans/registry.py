@@ -9,14 +9,18 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.config import TextConfig
+from termforge.config import IndexConfig, TextConfig
 from termforge.functions import stemmer, text
 from termforge.operators import barrels, forward, inverted, lexicon, search, terms
+from termforge.plans import index as plans
 from termforge.plans.index import of_terms
+from termforge.shared import shared_dir
 from termforge.sources import papers as source
+from termforge.sources import stored
 
 WORDS = ("ci", "de", "en", "la", "der", "virus", "notaword")
 DOC_IDS = (0, 1, 7, 42, 10**12)
+BARRELS = 4
 TERM_QUERIES = tuple((d, w) for d in DOC_IDS for w in (0, 1, 10**9))
 TOP, FIRST = 100, 10
 SPLIT = 500  # documents of a smaller id come first in incremental_lexicon
@@ -171,12 +175,182 @@ def csv_fields(spark, sf_dir):
     return rows.select("doc_id", F.size("f").cast("long").alias("n_fields"), F.col("f")[1].alias("second"), F.length(F.col("f")[3]).cast("long").alias("last_length"))
 
 
+def stemmed_tokens(spark, sf_dir):
+    return terms.tokens(_papers(spark, sf_dir), TextConfig(use_stemming=True)).select(F.col("paper_id").alias("doc_id"), "pos", "word")
+
+
+def raw_tokens(spark, sf_dir):
+    """What tokenizing alone gives, and what of it is no stop word, and what is a number."""
+    words = text.tokenize(F.coalesce("text", F.lit("")))
+    rows = _documents(spark, sf_dir).select("doc_id", words.alias("w"))
+    size = lambda c: F.size(c).cast("long")
+    return rows.select("doc_id", size(F.col("w")).alias("n_tokens"), size(text.remove_stop_words(F.col("w"))).alias("n_plain"), size(F.filter("w", text.is_number)).alias("n_numbers"))
+
+
+def clean_field(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", source.clean_field(F.concat(F.lit(' \t"'), F.col("source"), F.lit('"\r'))).alias("field"))
+
+
+def forward_document(spark, sf_dir):
+    rows = forward.document(_index(spark, sf_dir).forward, DOC_IDS[2])
+    return rows.select("doc_id", "doc_length", F.explode("terms").alias("t")).select("doc_id", "doc_length", "t.word_id", "t.frequency")
+
+
+def word_postings(spark, sf_dir):
+    return inverted.terms(_index(spark, sf_dir).postings, 0)
+
+
+def appended_postings(spark, sf_dir):
+    """Documents added again as later ones: their postings come twice."""
+    own = _index(spark, sf_dir).postings
+    return inverted.append(own, own.withColumn("doc_id", F.col("doc_id") + 1_000_000)).select("word_id", "doc_id", "frequency")
+
+
+def lexicon_size(spark, sf_dir):
+    own = build_lexicon(spark, sf_dir)
+    return own.agg(F.count("*").alias("words"), F.bool_or(F.col("word") == WORDS[1]).alias("has_word"))
+
+
+# sources and sinks: files are made of the documents in the shared folder, and read back
+
+
+def _metadata_folder(spark, sf_dir) -> str:
+    """A data folder whose metadata file has a header, and a good, a short and an empty line for each document."""
+    path = shared_dir(spark, "papers")
+    blank = F.lit("")
+    sha, pmcid = (F.when(F.col("lang") == "en", F.concat(F.lit("s"), "doc_id")).otherwise(""), F.when(F.col("source").isNotNull(), F.concat(F.lit("P"), "doc_id")).otherwise(""))
+    title = F.concat(F.lit('" T, '), F.coalesce("source", blank), F.lit(' "'))
+    good = F.concat_ws(",", F.col("doc_id").cast("string"), sha, blank, title, blank, pmcid, blank, blank, F.coalesce("lang", blank), F.lit("2020"), F.when(F.col("lang") == "de", F.lit("Me")))
+    lines = _documents(spark, sf_dir).select("doc_id", F.posexplode(F.array(good, F.lit("short,line"), blank)).alias("k", "value"))
+    head = spark.createDataFrame([(None, -1, "cord_uid,sha,source_x,title,doi,pmcid,pubmed_id,license,abstract,publish_time,authors")], lines.schema)
+    lines.unionAll(head).orderBy(F.asc_nulls_first("doc_id"), "k").select("value").coalesce(1).write.text(f"{path}/metadata.csv")  # the format is one file
+    return path
+
+
+def _raw_bodies(spark, sf_dir):
+    """stem, raw of the two kinds of JSON bodies: some malformed, some with a text that is no string."""
+    part = lambda c: F.array(F.struct(F.col(c).alias("text")))
+    docs = _documents(spark, sf_dir)
+    whole = F.to_json(F.struct(part("source").alias("abstract"), part("text").alias("body_text")))
+    raw = F.when(F.length("text") < 100, F.lit("{")).when(F.length("text") < 200, F.lit('{"body_text": [{"text": 5}]}')).otherwise(whole)
+    pdf = docs.select(F.concat(F.lit("s"), "doc_id").alias("stem"), raw.alias("raw"))
+    xml = docs.select(F.concat(F.lit("P"), "doc_id").alias("stem"), F.to_json(F.struct(part("lang").alias("body_text"))).alias("raw"))
+    return pdf, xml
+
+
+def metadata(spark, sf_dir):
+    return source.metadata(spark, _metadata_folder(spark, sf_dir))
+
+
+def metadata_stats(spark, sf_dir):
+    return spark.createDataFrame([(source.count_records(spark, _metadata_folder(spark, sf_dir)),)], "records long")
+
+
+def json_body(spark, sf_dir):
+    return source.parsed_bodies(_raw_bodies(spark, sf_dir)[0])
+
+
+def papers(spark, sf_dir):
+    pdf, xml = (source.parsed_bodies(b) for b in _raw_bodies(spark, sf_dir))
+    return source.with_bodies(source.metadata(spark, _metadata_folder(spark, sf_dir)), pdf, xml).select("doc_ord", "paper_id", "title", "authors", "body_text")
+
+
+def bodies_text(spark, sf_dir):
+    """The bodies written as text with end marks: marks and characters read back."""
+    path = shared_dir(spark, "bodies")
+    stored.save_bodies_text(_papers(spark, sf_dir), path)
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.agg(F.count_if(F.col("value") == "---END OF DOCUMENT---").alias("marks"), F.sum(F.length("value").cast("long")).alias("chars"))
+
+
+def stored_lexicon(spark, sf_dir):
+    path = shared_dir(spark, "lexicon")
+    stored.save_lexicon_csv(build_lexicon(spark, sf_dir), path)
+    return stored.load_lexicon_csv(spark, path)
+
+
+def stored_lexicon_repeats(spark, sf_dir):
+    """A lexicon file in which every word comes twice: the later row counts."""
+    path = shared_dir(spark, "lexicon")
+    own = build_lexicon(spark, sf_dir)
+    twice = own.withColumn("k", F.lit(0)).unionAll(own.select("word", F.lit(0).alias("word_id"), F.col("frequency") + 1, F.lit(1)))
+    twice.orderBy("k", "word").drop("k").coalesce(1).write.csv(path, header=True, quoteAll=True)
+    return stored.load_lexicon_csv(spark, path)
+
+
+def _csv(spark, path, schema):
+    return spark.read.schema(schema).csv(path, header=True)
+
+
+def forward_csv(spark, sf_dir):
+    path = shared_dir(spark, "forward")
+    stored.save_forward_csv(_index(spark, sf_dir).forward, path)
+    return _csv(spark, path, "doc_id long, word_id long, frequency long")
+
+
+def forward_csv_first_n(spark, sf_dir):
+    path = shared_dir(spark, "forward")
+    stored.save_first_documents_csv(_index(spark, sf_dir).forward, FIRST, path)
+    return _csv(spark, path, "doc_id long, word_id long, frequency long")
+
+
+def postings_csv(spark, sf_dir):
+    path = shared_dir(spark, "postings")
+    stored.save_postings_csv(_index(spark, sf_dir).postings, path)
+    return _csv(spark, path, "word_id long, word string, doc_id long, frequency long")
+
+
+def postings_csv_first_n(spark, sf_dir):
+    path = shared_dir(spark, "postings")
+    stored.save_first_words_csv(_index(spark, sf_dir).postings, FIRST, path)
+    return _csv(spark, path, "word_id long, word string, doc_id long, frequency long")
+
+
+def barrels_csv(spark, sf_dir):
+    path = shared_dir(spark, "barrels")
+    stored.export_barrels_csv(barrels.assigned(_index(spark, sf_dir).postings, BARRELS), path)
+    return _csv(spark, path, "word_id long, word string, doc_id long, frequency long, barrel_id long").select("barrel_id", "word_id", "word", "doc_id", "frequency")
+
+
+def _stored(spark, sf_dir) -> str:
+    path = shared_dir(spark, "index")
+    plans.build(_papers(spark, sf_dir), path, IndexConfig(num_barrels=BARRELS))
+    return path
+
+
+def stored_barrels(spark, sf_dir):
+    path = shared_dir(spark, "barrels")
+    barrels.write(_index(spark, sf_dir).postings, path, BARRELS)
+    return spark.read.parquet(f"{path}/barrels").select("word_id", "doc_id", "frequency", F.col("barrel_id").cast("long").alias("barrel_id"))
+
+
+def stored_barrel_metadata(spark, sf_dir):
+    path = shared_dir(spark, "barrels")
+    barrels.write(_index(spark, sf_dir).postings, path, BARRELS)
+    return barrels.load_metadata(spark, path)
+
+
+def stored_lookup(spark, sf_dir):
+    """The postings of one word, read from its barrel alone."""
+    return barrels.lookup(spark, _stored(spark, sf_dir), 0).select("word_id", "doc_id", "frequency")
+
+
+def stored_forward(spark, sf_dir):
+    return spark.read.parquet(f"{_stored(spark, sf_dir)}/forward").select("doc_id", "word_id", "frequency")
+
+
+def search_stored(spark, sf_dir):
+    return search.search_stored(spark, _stored(spark, sf_dir), list(WORDS))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         term_search, clean_text, tokens, token_counts, stopword_hits, lexicon_top, word_lookup, reverse_lexicon, doc_terms, forward_index, forward_nested, doc_lengths, term_frequency,
         forward_stats, inverted_stats, forward_first_n, inverted_first_n, doc_id_map, dedup_documents, inverted_index, postings_nested, barrel_assignment, barrel_metadata, barrel_lookup,
-        incremental_lexicon, stemmed_words, stemmed_lexicon, csv_fields,
+        incremental_lexicon, stemmed_words, stemmed_lexicon, csv_fields, stemmed_tokens, raw_tokens, clean_field, forward_document, word_postings, appended_postings, lexicon_size,
+        metadata, metadata_stats, json_body, papers, bodies_text, stored_lexicon, stored_lexicon_repeats, forward_csv, forward_csv_first_n, postings_csv, postings_csv_first_n, barrels_csv,
+        stored_barrels, stored_barrel_metadata, stored_lookup, stored_forward, search_stored,
     )
 } | {"lexicon": build_lexicon}
 
@@ -217,6 +391,12 @@ def _with(select: str, **base) -> str:
 _WANTED = "(values " + ", ".join(f"('{w}')" for w in WORDS) + ") q(word)"
 _DOCS = "(values " + ", ".join(f"({d}::bigint)" for d in DOC_IDS) + ") q(doc_id)"
 _PAIRS = "(values " + ", ".join(f"({d}::bigint, {w}::bigint)" for d, w in TERM_QUERIES) + ") q(doc_id, word_id)"
+_SEARCH = f"""select q.word, lex.word_id is not null as found, lex.word_id, count(post.doc_id) over (partition by q.word) as doc_count, row_number() over (partition by q.word order by post.doc_id) as rank, post.doc_id, post.frequency
+        from {_WANTED} left join lex on q.word = lex.word left join post on lex.word_id = post.word_id qualify rank <= 5"""
+_ORD = "row_number() over (order by doc_id) - 1"
+_SHA, _PMC = "case when lang = 'en' then 's' || doc_id else '' end", "case when source is not null then 'P' || doc_id else '' end"
+_TITLE = "trim('T, ' || coalesce(source, ''))"
+_PDF = "case when length(text) >= 200 then coalesce(source || chr(10) || chr(10), '') || text || chr(10) || chr(10) else '' end"
 _SPACE = r" \t\n\x0B\f\r"
 _OTHER = rf"[^A-Za-z0-9{_SPACE}]+"
 
@@ -276,15 +456,40 @@ ORACLE = {
     "barrel_assignment": _with("select word_id, doc_id, (word_id - lo) // per as barrel_id from post, r"),
     "barrel_metadata": _with("select * from meta"),
     "barrel_lookup": _with(f"select q.word, word_id, barrel_id from {_WANTED} left join lex on q.word = lex.word left join meta on word_id between start_word_id and end_word_id"),
-    "term_search": _with(
-        f"""select q.word, lex.word_id is not null as found, lex.word_id, count(post.doc_id) over (partition by q.word) as doc_count, row_number() over (partition by q.word order by post.doc_id) as rank, post.doc_id, post.frequency
-        from {_WANTED} left join lex on q.word = lex.word left join post on lex.word_id = post.word_id qualify rank <= 5"""
-    ),
+    "term_search": _with(_SEARCH),
     "incremental_lexicon": _with("select * from lex"),
     "stemmed_words": _with(f", voc as (select distinct word from tok), {_stem_sql()} select word, stem from stems"),
     "stemmed_lexicon": _with(
         f""", voc as (select distinct word from t where word not in ({_PLAIN})), {_stem_sql()}
         select stem as word, row_number() over (order by min(ord * 100000000 + pos)) - 1 as word_id, count(*) as frequency from t join stems on t.word = stems.word where {_VALID.format("stem")} group by stem"""
     ),
+    "stemmed_tokens": _with(f""", voc as (select distinct word from t where word not in ({_PLAIN})), {_stem_sql()}
+        select doc_id, pos, stem as word from t join stems on t.word = stems.word where {_VALID.format("stem")}"""),
+    "raw_tokens": f"""with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[{_SPACE}]+'), lambda x: x <> '') as w from documents)
+        select doc_id, len(w)::bigint as n_tokens, len(list_filter(w, lambda x: x not in ({_list(text.STOP_WORDS)})))::bigint as n_plain, len(list_filter(w, lambda x: regexp_full_match(x, '[0-9.,]+')))::bigint as n_numbers from w""",
+    "clean_field": "select doc_id, source as field from documents",
+    "forward_document": _with(f"select doc_id, sum(frequency) over ()::bigint as doc_length, word_id, frequency from fwd where doc_id = {DOC_IDS[2]}"),
+    "word_postings": _with("select doc_id, frequency from post where word_id = 0"),
+    "appended_postings": _with("select word_id, doc_id, frequency from post union all select word_id, doc_id + 1000000, frequency from post"),
+    "lexicon_size": _with(f"select count(*) as words, bool_or(word = '{WORDS[1]}') as has_word from lex"),
+    "metadata": f"""select {_ORD} as doc_ord, doc_id::varchar as paper_id, {_SHA} as sha, {_PMC} as pmcid, {_TITLE} as title, coalesce(lang, '') as abstract_text, '2020' as publish_date,
+        case when lang = 'de' then 'Me' else '' end as authors from documents""",
+    "metadata_stats": "select 2 * count(*) as records from documents",
+    "json_body": f"select 's' || doc_id as stem, {_PDF} as body from documents",
+    "papers": f"""select {_ORD} as doc_ord, doc_id::varchar as paper_id, {_TITLE} as title, case when lang = 'de' then 'Me' else '' end as authors,
+        coalesce(nullif(case when lang = 'en' then {_PDF} end, ''), case when source is not null then coalesce(lang || chr(10) || chr(10), '') end, '') as body_text from documents""",
+    "bodies_text": "select count(*) as marks, sum(length(replace(text, chr(10), '')) + 23)::bigint as chars from documents where text <> ''".replace("23", str(len("---END OF DOCUMENT---"))),
+    "stored_lexicon": _with("select * from lex"),
+    "stored_lexicon_repeats": _with("select word, 0::bigint as word_id, (frequency + 1)::bigint as frequency from lex"),
+    "forward_csv": _with("select doc_id, word_id, frequency from fwd"),
+    "forward_csv_first_n": _with(f"select doc_id, word_id, frequency from fwd where doc_num < {FIRST}"),
+    "postings_csv": _with("select * from post"),
+    "postings_csv_first_n": _with(f"select * from post qualify dense_rank() over (order by word_id) <= {FIRST}"),
+    "barrels_csv": _with("select (word_id - lo) // per as barrel_id, word_id, word, doc_id, frequency from post, r"),
+    "stored_barrels": _with("select word_id, doc_id, frequency, (word_id - lo) // per as barrel_id from post, r"),
+    "stored_barrel_metadata": _with("select * from meta"),
+    "stored_lookup": _with("select word_id, doc_id, frequency from post where word_id = 0"),
+    "stored_forward": _with("select doc_id, word_id, frequency from fwd"),
+    "search_stored": _with(_SEARCH),
     "csv_fields": "select doc_id, 4::bigint as n_fields, 'a,b c' as second, length(replace(replace(text, chr(10), ' '), '\"', ''))::bigint as last_length from documents",
 }

@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 LEAST_FIELDS = 10
 BODY_SCHEMA = "abstract array<struct<text:string>>, body_text array<struct<text:string>>"
 PDF_BODIES, XML_BODIES = "comm_use_subset/pdf_json", "comm_use_subset/pmc_json"
-SEPARATOR = "\u0001"  # stands for a splitting comma; must not occur in the data
+SEPARATOR = "\u0001"
+SPLIT, OWN = SEPARATOR + "\u0002", SEPARATOR + "\u0003"  # a splitting comma, and a separator of the data
 
 
 def csv_fields(line: Column) -> Column:
     """The fields of a line: a quote turns quoting on or off and is dropped, a comma splits outside quotes only.
 
     Pieces between quotes alternate between outside and inside, so commas are replaced in every other piece.
+    A separator that the line has itself is replaced before and put back in the fields.
     """
-    piece = F.transform(F.split(line, '"', -1), lambda x, i: F.when(i % 2 == 0, F.replace(x, F.lit(","), F.lit(SEPARATOR))).otherwise(x))
-    return F.split(F.array_join(piece, ""), SEPARATOR, -1)
+    own = F.replace(line, F.lit(SEPARATOR), F.lit(OWN))
+    piece = F.transform(F.split(own, '"', -1), lambda x, i: F.when(i % 2 == 0, F.replace(x, F.lit(","), F.lit(SPLIT))).otherwise(x))
+    return F.transform(F.split(F.array_join(piece, ""), SPLIT, -1), lambda x: F.replace(x, F.lit(OWN), F.lit(SEPARATOR)))
 
 
 def clean_field(field: Column) -> Column:
@@ -74,35 +77,44 @@ def body_text(abstract: Column, body: Column) -> Column:
     return F.concat(F.array_join(part(abstract), ""), F.array_join(part(body), ""))
 
 
-def bodies(spark: SparkSession, path: str) -> DataFrame:
-    """stem, body of the JSON files in a folder. A malformed file, or one with a text that is no string, has an empty body."""
-    key = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.xml)?\.json$", 1)
-    raw = spark.read.text(path, wholetext=True).select(key.alias("stem"), F.col("value").alias("raw"))
-    parsed = raw.withColumn("j", F.from_json("raw", BODY_SCHEMA)).withColumn("v", F.try_parse_json("raw"))
+def parsed_bodies(files: DataFrame) -> DataFrame:
+    """stem, body of ``files`` (stem, raw). A malformed file, or one with a text that is no string, has an empty body."""
+    parsed = files.withColumn("j", F.from_json("raw", BODY_SCHEMA)).withColumn("v", F.try_parse_json("raw"))
     # kinds of all text values as written: from_json would turn a number into a string
     texts = lambda name: F.coalesce(F.try_variant_get("v", f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
     strings = F.forall(F.concat(texts("abstract"), texts("body_text")), lambda x: F.schema_of_variant(F.try_variant_get(x, "$.text", "variant")) == "STRING")
     return parsed.select("stem", F.when(F.col("v").isNotNull() & F.coalesce(strings, F.lit(False)), body_text(F.col("j.abstract"), F.col("j.body_text"))).otherwise("").alias("body"))
 
 
+def bodies(spark: SparkSession, path: str) -> DataFrame:
+    """stem, body of the JSON files in a folder."""
+    key = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.xml)?\.json$", 1)
+    return parsed_bodies(spark.read.text(path, wholetext=True).select(key.alias("stem"), F.col("value").alias("raw")))
+
+
 def _folder(spark: SparkSession, path: str) -> DataFrame:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     return bodies(spark, path) if fs.exists(p) and len(fs.listStatus(p)) else spark.createDataFrame([], "stem string, body string")
 
 
+def with_bodies(own: DataFrame, pdf: DataFrame, xml: DataFrame) -> DataFrame:
+    """``own`` (see ``metadata``) with body_text: the text of the PDF form, or else of the XML form, or else empty."""
+    pdf, xml = (f.select(F.col("stem").alias(s), F.col("body").alias(b)) for f, s, b in ((pdf, "_pdf", "pdf_body"), (xml, "_xml", "xml_body")))
+    both = own.join(pdf, (F.col("sha") == F.col("_pdf")) & (F.col("sha") != ""), "left").join(xml, (F.col("pmcid") == F.col("_xml")) & (F.col("pmcid") != ""), "left")
+    body = F.coalesce(F.nullif("pdf_body", F.lit("")), F.col("xml_body"), F.lit(""))
+    return both.select("doc_ord", "paper_id", "title", "authors", "publish_date", "abstract_text", body.alias("body_text"))
+
+
 def papers(spark: SparkSession, data_path: str, max_docs: int | None = None) -> DataFrame:
-    """The papers of a data folder with their bodies: the PDF form's text, or else the XML form's, or else empty.
+    """The papers of a data folder with their bodies.
 
     ``max_docs`` cuts before the bodies are joined, so only the kept papers' bodies are looked up.
     """
     own = metadata(spark, data_path)
     if max_docs is not None:
         own = own.where(F.col("doc_ord") < max_docs)
-    pdf, xml = (_folder(spark, f"{data_path}/{d}").select(F.col("stem").alias(s), F.col("body").alias(b)) for d, s, b in ((PDF_BODIES, "_pdf", "pdf_body"), (XML_BODIES, "_xml", "xml_body")))
-    both = own.join(pdf, (F.col("sha") == F.col("_pdf")) & (F.col("sha") != ""), "left").join(xml, (F.col("pmcid") == F.col("_xml")) & (F.col("pmcid") != ""), "left")
-    body = F.coalesce(F.nullif("pdf_body", F.lit("")), F.col("xml_body"), F.lit(""))
-    return both.select("doc_ord", "paper_id", "title", "authors", "publish_date", "abstract_text", body.alias("body_text"))
+    return with_bodies(own, _folder(spark, f"{data_path}/{PDF_BODIES}"), _folder(spark, f"{data_path}/{XML_BODIES}"))
 
 
 def from_documents(documents: DataFrame) -> DataFrame:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import struct
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termforge.operators import forward, inverted
+
 LEXICON = "word string, word_id long, frequency long"
 
 
@@ -24,20 +27,32 @@ def save_lexicon_csv(lexicon: DataFrame, path: str) -> None:
 
 
 def load_lexicon_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows with a word and numbers; of a word that comes again the last id counts."""
+    """Rows with a word and numbers; of a word that comes again the last row counts."""
     rows = spark.read.schema("word string, word_id string, frequency string").csv(path, header=True)
-    typed = rows.select("word", F.expr("try_cast(word_id as bigint)").alias("word_id"), F.expr("try_cast(frequency as bigint)").alias("frequency")).where("word is not null and word_id is not null and frequency is not null")
-    return typed.groupBy("word").agg(F.max(F.struct("word_id", "frequency")).alias("x")).select("word", "x.word_id", "x.frequency")
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    typed = rows.select(place.alias("place"), "word", F.expr("try_cast(word_id as bigint)").alias("word_id"), F.expr("try_cast(frequency as bigint)").alias("frequency"))
+    typed = typed.where("word is not null and word_id is not null and frequency is not null")
+    return typed.groupBy("word").agg(F.max(F.struct("place", "word_id", "frequency")).alias("x")).select("word", "x.word_id", "x.frequency")
 
 
-def save_forward_csv(forward: DataFrame, path: str) -> None:
-    forward.select("doc_id", "word_id", "frequency").write.mode("overwrite").csv(path, header=True)
+def save_forward_csv(index: DataFrame, path: str) -> None:
+    index.select("doc_id", "word_id", "frequency").write.mode("overwrite").csv(path, header=True)
 
 
 def save_postings_csv(postings: DataFrame, path: str) -> None:
     postings.select("word_id", "word", "doc_id", "frequency").write.mode("overwrite").csv(path, header=True)
 
 
+def save_first_documents_csv(index: DataFrame, n: int, path: str) -> None:
+    """The forward CSV of the first ``n`` documents by number."""
+    save_forward_csv(forward.first_documents(index, n), path)
+
+
+def save_first_words_csv(postings: DataFrame, n: int, path: str) -> None:
+    """The postings CSV of the first ``n`` words by id, each with all its postings."""
+    save_postings_csv(inverted.first_words(postings, n), path)
+
+
 def export_barrels_csv(assigned: DataFrame, path: str) -> None:
     """One folder of CSV per barrel."""
     assigned.select("word_id", "word", "doc_id", "frequency", "barrel_id").repartition("barrel_id").sortWithinPartitions("word_id", "doc_id").write.mode("overwrite").partitionBy("barrel_id").csv(path, header=True)
@@ -53,8 +68,8 @@ def save_bodies_text(papers: DataFrame, path: str) -> None:
 
 
 class _Buffer:
-    def __init__(self, data: bytes):
-        self.data, self.at = data, 0
+    def __init__(self, data):
+        self.data, self.at = memoryview(data), 0
 
     def numbers(self, kinds: str) -> tuple:
         s = struct.Struct(f"<{kinds}")
@@ -67,11 +82,11 @@ class _Buffer:
         (n,) = self.numbers("I")
         if self.at + n > len(self.data):
             raise ValueError("the file ends too early")
-        out, self.at = self.data[self.at : self.at + n].decode("utf-8", "replace"), self.at + n
+        out, self.at = bytes(self.data[self.at : self.at + n]).decode("utf-8", "replace"), self.at + n
         return out
 
 
-def _forward_rows(data: bytes):
+def _forward_rows(data):
     b = _Buffer(data)
     _, _, _, n = b.numbers("IQII")
     for num in range(n):
@@ -81,7 +96,7 @@ def _forward_rows(data: bytes):
             yield (num, doc_id, title, abstract, length, *b.numbers("II"))
 
 
-def _inverted_rows(data: bytes, barrel: bool):
+def _inverted_rows(data, barrel: bool):
     b = _Buffer(data)
     if barrel:
         b.numbers("III")
@@ -94,18 +109,25 @@ def _inverted_rows(data: bytes, barrel: bool):
             yield (word_id, word, *b.numbers("II"))
 
 
+CHUNK = 100_000  # records handed on at a time
+
+
 def _packed(spark: SparkSession, path: str, rows, schema: str) -> DataFrame:
-    """One task per file: a file is one sequential record stream."""
-    import pandas as pd
+    """One task per file, as a file is one sequential record stream; its records are handed on in chunks."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
-    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
 
-    def run(frames):
-        for frame in frames:
-            for data in frame["content"]:
-                yield pd.DataFrame(list(rows(bytes(data))), columns=names)
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0):
+                stream = iter(rows(data.as_buffer()))
+                while part := list(islice(stream, CHUNK)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), kinds.types)], schema=kinds)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
 
 def load_forward_binary(spark: SparkSession, path: str) -> DataFrame:

@@ -76,3 +76,22 @@ def test_settings_are_checked():
         except ValueError:
             continue
         raise AssertionError
+
+
+def test_the_plan_of_a_stemmed_index_stays_small(spark):
+    from termforge.operators import lexicon, terms
+
+    papers = spark.createDataFrame([(0, "p", "viruses and cats")], "doc_ord long, paper_id string, body_text string")
+    plan = lexicon.build(terms.doc_terms(papers, TextConfig(use_stemming=True)))
+    assert len(plan._jdf.queryExecution().optimizedPlan().toString()) < 200_000
+    assert sorted(r["word"] for r in plan.collect()) == ["cat", "virus"]
+
+
+def test_orders_that_do_not_fit_are_refused(spark):
+    import pytest
+
+    from termforge.operators import terms
+
+    papers = spark.createDataFrame([(1 << 31, "p", "viruses")], "doc_ord long, paper_id string, body_text string")
+    with pytest.raises(Exception, match="doc_ord must be from 0"):
+        terms.doc_terms(papers).collect()
