@@ -1,4 +1,4 @@
-"""Repeated passages: maximal repeats of 200 bytes and more, by a common-prefix interval tree over a suffix array.
+"""Repeated passages: maximal repeat groups of 200 bytes and more, by a common-prefix interval tree over a suffix array.
 
 Every 200-byte stretch holds a core: a position chosen by its content (see ``winnow``) from which 116 bytes stay inside
 the stretch. Equal stretches hold equal cores at equal places, so stretches can only repeat inside groups of equal cores.
@@ -7,16 +7,21 @@ the stretch. Equal stretches hold equal cores at equal places, so stretches can
 2. Texts are read again; cores that the bitmap knows are kept with a hash of their context, the 84 bytes before and the
    84 after the core, which hold every stretch around it. Equal contexts of different places repeat as a whole and
    meet as counts; of each distinct context one place is picked.
-3. The distinct contexts of a core are suffixes that start at the core: sorted, with longest common prefixes, they are an
-   enhanced suffix array, sparse in that it has one suffix for each context. A stack scan gives the intervals of its
-   common-prefix tree; inside an interval, order by left extension tells where left extensions are diverse, and so how far each
-   repeat reaches on both sides: intervals of right extension r and left extension l are maximal repeats of
-   l + 116 + r bytes, with all occurrences.
-4. What repeats is joined back to all places, merged per document, and cut.
-
-Suffix groups are bounded: a core with more than ``LARGE`` distinct contexts is compared by the hashes of its 85
-stretches instead, counted with partial sums, so no task holds it. The result is the same. ``maximal_repeats`` gives the
-groups themselves; to cut texts only how far they reach is needed, which ``reach_of`` finds on the same tree.
+3. The distinct contexts are suffixes that start at a core: sorted by (core, right side), with longest common prefixes, they
+   are an enhanced suffix array, sparse in that it has one suffix for each context. A stack scan gives the intervals of its
+   common-prefix tree: the contexts that share ``behind`` bytes behind the core and then differ.
+4. The members of an interval that also share the 84 - ``behind`` bytes before the core have a stretch in common. They are
+   sorted by their left extensions and scanned in the same way: each interval of left extensions is diverse on its left and
+   shares ``before`` bytes; one that is diverse on its right too is a maximal repeat of before + 116 + behind bytes, put
+   out with all its occurrences.
+5. How far the groups of a context reach is joined back to all places, merged per document, and cut.
+
+No task holds more of a core or interval than an even share. What has more contexts is dealt out by sampled cut points of
+the sort order, so that a chunk is a stretch of the suffix array. Chunks tell their ends and the depths of the intervals
+that touch them - two strings and at most 168 numbers each; from these the intervals that go over chunk borders are found,
+and then every chunk knows which of them its members belong to. Groups are named by their content, so members from different chunks meet.
+
+Contexts end 84 bytes from the core, so a longer repeat is a chain of overlapping groups, one around each of its cores.
 
 Defined cases: null text counts as empty; a text shorter than the length has no repeats; rows with equal doc_id or equal
 text are separate places; an empty table gives no rows; other columns pass by. Cutting may part a multi-byte character;
@@ -25,9 +30,10 @@ text are separate places; an empty table gives no rows; other columns pass by. C
 
 from __future__ import annotations
 
-import gc
 import hashlib
-from bisect import bisect_left
+import struct
+from bisect import bisect_right
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termforge.llm.common import bounded_batches, remove, shared_dir, written
+from termforge.llm.common import Scratch, bounded_batches, pieces
 from termforge.llm.winnow import anchors
 
 LENGTH = 200
@@ -43,90 +49,130 @@ GRAM = 32
 REACH = (LENGTH - GRAM) // 2  # 84: a stretch starts at most so far before its core
 CORE = LENGTH - REACH  # 116
 BITS = 26
-LARGE = 4096
-
+SHARE = 1024  # a core or interval of fewer members is never dealt out
+SAMPLES = 8  # sampled members for each chunk of a dealt one
+_POWERS = np.random.default_rng(20240302).integers(0, 1 << 64, REACH, np.uint64) | np.uint64(1)
 
-# ---------------------------------------------------------------- one group of contexts
 
-
-def _shared(a: bytes, b: bytes) -> int:
-    """Length of the longest common prefix."""
-    n = min(len(a), len(b))
-    x = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
-    return n - (x.bit_length() + 7) // 8
+# ---------------------------------------------------------------- the interval tree
 
 
 def prefix_intervals(lcp: list[int]):
-    """The intervals (value, first, last) of the common-prefix tree, by a stack scan; lcp[0] is unused."""
-    stack = [(0, 0)]
+    """The intervals (value, first, last) of the common-prefix tree, by a stack scan.
+
+    lcp[k] is what row k has in common with row k - 1, or -1 where a new tree begins; lcp[0] is unused.
+    """
+    stack: list[tuple[int, int]] = []
     for k in range(1, len(lcp) + 1):
         value, first = (lcp[k] if k < len(lcp) else -1), k - 1
         while stack and stack[-1][0] > value:
             v, first = stack.pop()
             yield v, first, k - 1
-        if not stack or stack[-1][0] < value:
+        if value >= 0 and (not stack or stack[-1][0] < value):
             stack.append((value, first))
 
 
-def maximal_repeats(rights: list[bytes], lefts: list[bytes], least: int):
-    """Maximal repeats (left, right, members) among suffixes.
+def matrix(column) -> tuple[np.ndarray, np.ndarray]:
+    """A column of binaries as rows of bytes, filled up with zeros, and their lengths."""
+    n = len(column)
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
+    size = np.diff(off)
+    out = np.zeros((n, max(1, int(size.max()))), np.uint8)
+    if off[-1] > off[0]:
+        data = np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]]
+        out[np.repeat(np.arange(n), size), np.arange(len(data)) - np.repeat(off[:-1] - off[0], size)] = data
+    return out, size
+
+
+def common(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of each row of ``x`` with the row before; -1 for the first."""
+    same = x[1:] == x[:-1]
+    n = np.where(same.all(1), x.shape[1], same.argmin(1))
+    return np.concatenate([[-1], np.minimum(n, np.minimum(size[1:], size[:-1]))])
 
-    ``rights`` are what follows a common core, ``lefts`` what precedes it, read backwards. Each result is an interval of
-    the prefix tree of ``rights`` cut into runs by left extension: ``members`` share ``left`` bytes before and ``right``
-    bytes behind the core, left + right >= least, and neither side can be extended for all of them.
+
+def shared_length(a: bytes, b: bytes) -> int:
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def borders(chunks) -> dict:
+    """(group, chunk) to (left, right, left depths, right depths) for the chunks of dealt groups.
+
+    ``chunks``: rows g, chunk, first, last, lefts, rights - the end strings and the depths of the intervals inside a chunk
+    that touch its ends. left and right are the common prefixes with the chunks beside it (-1 at the ends of a group); the depths
+    are those of all intervals that go over that border.
     """
-    order = sorted(range(len(rights)), key=rights.__getitem__)
-    lcp = [0] + [_shared(rights[a], rights[b]) for a, b in zip(order, order[1:])]
-    by_left = sorted(range(len(lefts)), key=lefts.__getitem__)
-    rank = {m: k for k, m in enumerate(by_left)}
-    for right, first, last in prefix_intervals(lcp):
-        if right + REACH < least or first == last:
-            continue
-        members = sorted(order[first : last + 1], key=rank.__getitem__)
-        shared = [0] + [_shared(lefts[a], lefts[b]) for a, b in zip(members, members[1:])]
-        for left, lo, hi in prefix_intervals(shared):
-            if left + right >= least and hi > lo:
-                yield left, right, members[lo : hi + 1]
-
-
-def reach_of(contexts: list[tuple[bytes, int]]) -> list[tuple[int, int] | None]:
-    """For each context (bytes, length before the core) how far the repeats around its core reach: bytes before and behind.
-
-    All these repeats hold the core, so their union is one stretch. The prefix tree is built from its leaves up, by
-    joining neighbours of the suffix array from the longest common prefix down; a node keeps its suffixes in the order of
-    their left extensions, the smaller child's inserted into the larger's. Only what is inserted and its neighbours
-    there can reach further left with this prefix than inside a child.
+    out = {}
+    for g, rows in groupby(sorted(chunks, key=lambda r: (bytes(r["g"]), r["chunk"])), key=lambda r: bytes(r["g"])):
+        rows = list(rows)
+        ends = [(bytes(r["first"]), bytes(r["last"])) for r in rows]
+        gap = [-1, *(shared_length(a[1], b[0]) for a, b in zip(ends, ends[1:])), -1]
+        nodes = set()
+        for i, r in enumerate(rows):
+            nodes.update(ends[i][0][:v] for v in (*r["lefts"], gap[i]) if 0 <= v <= gap[i])
+            nodes.update(ends[i][1][:v] for v in (*r["rights"], gap[i + 1]) if 0 <= v <= gap[i + 1])
+        for i, r in enumerate(rows):
+            over = [[d for d in range(gap[i + k] + 1) if ends[i][k][:d] in nodes] for k in (0, 1)]
+            out[g, r["chunk"]] = (gap[i], gap[i + 1], *over)
+    return out
+
+
+def _parts(t: pa.Table) -> np.ndarray:
+    """Where the (g, chunk) groups of sorted rows begin."""
+    g, _ = matrix(t.column("g").chunk(0))
+    chunk = t.column("chunk").to_numpy()
+    return np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]).any(1) | (chunk[1:] != chunk[:-1])]))
+
+
+def whole_groups(batches, least: int = 20_000):
+    """Tables of whole (g, chunk) groups and where these begin, from batches of sorted rows."""
+    held, n, enough = [], 0, least
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= enough:
+            t = pa.Table.from_batches(held).combine_chunks()
+            at = _parts(t)
+            if at[-1]:
+                yield t.slice(0, at[-1]).combine_chunks(), at[:-1]
+                held, n = t.slice(at[-1]).to_batches(), n - int(at[-1])
+            enough = max(least, 2 * n)
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, _parts(t)
+
+
+def memberships(t: pa.Table, at: np.ndarray, edges: dict | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, depth, interval) for each row and each interval of the prefix tree of ``s`` that it is in.
+
+    ``at``: where groups begin. Intervals that lie inside are numbered; those that go over the borders of a chunk
+    of a dealt group (see ``borders``) have no number (-1), and their other members are in other chunks.
     """
-    n = len(contexts)
-    rights = [c[k + CORE :] for c, k in contexts]
-    lefts = [c[:k][::-1] for c, k in contexts]
-    order = sorted(range(n), key=rights.__getitem__)
-    by_left = sorted(range(n), key=lefts.__getitem__)
-    rank = [0] * n
-    for k, m in enumerate(by_left):
-        rank[m] = k
-    number = [int.from_bytes(x.ljust(REACH, b"\0"), "big") for x in lefts]
-    size = [len(x) for x in lefts]
-    joins = sorted(((_shared(rights[a], rights[b]), k) for k, (a, b) in enumerate(zip(order, order[1:]), 1)), reverse=True)
-    before, behind = [-1] * n, [-1] * n
-    node = {k: [k, k, [rank[m]]] for k, m in enumerate(order)}  # by both end positions: first, last, left ranks
-    ends = dict(node)
-    for right, k in joins:
-        one, two = ends[k - 1], node[k]
-        big, few = (one[2], two[2]) if len(one[2]) >= len(two[2]) else (two[2], one[2])
-        for r in few:
-            at = bisect_left(big, r)
-            x = by_left[r]
-            for near in big[max(0, at - 1) : at + 1]:
-                y = by_left[near]
-                left = min(REACH - ((number[x] ^ number[y]).bit_length() + 7) // 8, size[x], size[y])
-                if left + right >= REACH:
-                    for z in (x, y):
-                        before[z], behind[z] = max(before[z], left), max(behind[z], right)
-            big.insert(at, r)
-        joined = [one[0], two[1], big]
-        node[one[0]] = ends[two[1]] = joined
-    return [None if x < 0 else (x, y) for x, y in zip(before, behind)]
+    x, size = matrix(t.column("s").chunk(0))
+    lcp = common(x, size)
+    lcp[at] = -1
+    found = np.array(list(prefix_intervals(lcp.tolist())), np.int64).reshape(-1, 3)
+    rows, depths, numbers = [], [], []
+    if edges:
+        ends, g, chunk = [*at[1:].tolist(), len(lcp)], t.column("g"), t.column("chunk")
+        left, right, part = np.full(len(at), -1), np.full(len(at), -1), np.searchsorted(at, found[:, 1], "right") - 1
+        for k, (lo, hi) in enumerate(zip(at.tolist(), ends)):
+            left[k], right[k], lefts, rights = edges[g[lo].as_py(), chunk[lo].as_py()]
+            head = np.minimum.accumulate(np.concatenate([[REACH], lcp[lo + 1 : hi]]))
+            tail = np.minimum.accumulate(np.concatenate([[REACH], lcp[lo + 1 : hi][::-1]]))[::-1]
+            for d in sorted({*lefts, *rights}):
+                own = lo + np.flatnonzero(((head >= d) if d in lefts else False) | ((tail >= d) if d in rights else False) | (head[-1] >= d))
+                rows.append(own)
+                depths.append(np.full(len(own), d))
+                numbers.append(np.full(len(own), -1))
+        over = ((found[:, 1] == at[part]) & (found[:, 0] <= left[part])) | ((found[:, 2] == np.array(ends)[part] - 1) & (found[:, 0] <= right[part]))
+        found = found[~over]
+    n = found[:, 2] - found[:, 1] + 1
+    rows.append(np.repeat(found[:, 1] - np.cumsum(n) + n, n) + np.arange(n.sum()))
+    depths.append(np.repeat(found[:, 0], n))
+    numbers.append(np.repeat(np.arange(len(n)), n))
+    return np.concatenate(rows).astype(np.int64), np.concatenate(depths).astype(np.int64), np.concatenate(numbers).astype(np.int64)
 
 
 # ---------------------------------------------------------------- Spark
@@ -202,117 +248,216 @@ def _places(shared):
     return run
 
 
-def _emitted(shared, stretches: bool):
-    """Of the picked contexts, those of ordinary cores as (key, ctx, raw, left), or those of large ones as stretches."""
+_SUFFIX = "g binary, id long, s binary, back binary"
+_NODE = "g binary, id long, s binary, key long, behind int, next int"
+_MEMBER = "key long, ctx long, before int, behind int, next int, repeat binary"
+
+
+def _emitted(shared):
+    """The picked contexts as suffixes: g (the core's hash), id (the context), s (what is behind the core), back (what is before it, backwards)."""
 
     def run(batches):
-        picked, large = shared.value
-        if stretches and not large.any():
-            return
+        picked = shared.value
         for batch in batches:
             rows: list = []
             at, k, c, ids = (batch.column(i).to_pylist() for i in range(1, 5))
             for i, t in enumerate(batch.column(0)):
                 if not ids[i]:
                     continue
-                wide = _known(large, np.array(k[i], np.int64).view(np.uint64))
-                use = np.flatnonzero(_known(picked, np.array(ids[i], np.int64).view(np.uint64)) & (wide == stretches)).tolist()
+                use = np.flatnonzero(_known(picked, np.array(ids[i], np.int64).view(np.uint64))).tolist()
                 text = t.as_py() if use else None
                 for u in use:
-                    rows.append((k[i][u], c[i][u], *_context(text, at[i][u])))
-            if stretches:
-                rows = [x for r in rows for x in _stretches(*r)]
+                    raw, left = _context(text, at[i][u])
+                    rows.append((struct.pack(">q", k[i][u]), c[i][u], raw[left + CORE :], raw[:left][::-1]))
             cols = list(zip(*rows)) or [()] * 4
-            names, kinds = (("key", "ctx", "before", "h"), (pa.int64(), pa.int64(), pa.int32(), pa.int64())) if stretches else (("key", "ctx", "raw", "left"), (pa.int64(), pa.int64(), pa.binary(), pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(cols, kinds)], names=list(names))
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(cols, (pa.binary(), pa.int64(), pa.binary(), pa.binary()))], names=["g", "id", "s", "back"])
 
     return run
 
 
-def _stretches(key: int, ctx: int, raw: bytes, left: int):
-    """Every stretch around the core: (key, ctx, bytes before the core, hash)."""
-    for s in range(max(0, left - REACH), min(left, len(raw) - LENGTH) + 1):
-        yield key, ctx, left - s, xxhash.xxh3_64_intdigest(raw[s : s + LENGTH], left - s) - (1 << 63)
+def _right_scan(edges):
+    """For each suffix and each interval of right extensions with a partner there: a row of the interval's stretch.
 
+    g names the stretch of 200 bytes that reaches ``behind`` bytes behind the core; s is what stands before it, backwards.
+    """
 
-_REACH = "key long, ctx long, before int, behind int"
+    def run(batches):
+        for t, at in whole_groups(batches):
+            row, behind, number = memberships(t, at, edges and edges.value)
+            back, size = matrix(t.column("back").chunk(0))
+            keep = size[row] >= REACH - behind
+            row, behind, number = row[keep], behind[keep], number[keep]
+            h = np.zeros(len(row), np.uint64)
+            for d in np.unique(behind).tolist():
+                for lo in range(0, len(of := np.flatnonzero(behind == d)), 20_000):
+                    own = of[lo : lo + 20_000]
+                    h[own] = (back[row[own], : REACH - d].astype(np.uint64) + np.uint64(1)) @ _POWERS[: REACH - d]
+            order = np.lexsort((h, number))
+            same = (number[order][1:] == number[order][:-1]) & (h[order][1:] == h[order][:-1])
+            pair = np.zeros(len(row), bool)
+            pair[order[1:]] |= same
+            pair[order[:-1]] |= same
+            keep = np.flatnonzero(pair | (number < 0))
+            g, ctx, s, b = (t.column(c) for c in ("g", "id", "s", "back"))
+            out: list = []
+            for r, d in zip(row[keep].tolist(), behind[keep].tolist()):
+                core, right, left = g[r].as_py(), s[r].as_py(), b[r].as_py()
+                name = xxhash.xxh3_128_digest(core + bytes([d]) + right[:d] + left[: REACH - d])
+                out.append((name, ctx[r].as_py(), left[REACH - d :], struct.unpack(">q", core)[0], d, right[d] if d < len(right) else -1))
+            cols = list(zip(*out)) or [()] * 6
+            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=["g", "id", "s", "key", "behind", "next"])
 
+    return run
 
-def _scan_groups(batches):
-    """Suffix groups one after the other from rows sorted by key."""
 
-    def flush(key, group):
-        ctx = list(group)
-        cores_ = {group[c][0][group[c][1] : group[c][1] + CORE] for c in ctx}
-        for core in cores_:  # one, unless hashes collide
-            own = [c for c in ctx if group[c][0][group[c][1] : group[c][1] + CORE] == core]
-            if len(own) > 1:
-                for c, found in zip(own, reach_of([group[c] for c in own])):
-                    if found:
-                        yield key, c, *found
+def _left_scan(edges):
+    """For each member and each interval of left extensions: a row of the maximal repeat. An interval that is not diverse on
+    its right is a part of a longer repeat and left out, if it lies in one chunk; else ``repeat_groups`` tells."""
 
-    def rows(found):
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found) if found else ((), (), (), ()), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["key", "ctx", "before", "behind"])
+    def run(batches):
+        for t, at in whole_groups(batches):
+            row, more, number = memberships(t, at, edges and edges.value)
+            nxt = t.column("next").to_numpy()[row]
+            inside = np.flatnonzero(number >= 0)
+            low, high = np.full(number.max(initial=-1) + 1, 256), np.full(number.max(initial=-1) + 1, -2)
+            np.minimum.at(low, number[inside], nxt[inside])
+            np.maximum.at(high, number[inside], nxt[inside])
+            keep = np.ones(len(row), bool)
+            keep[inside] = ((low != high) | (low < 0))[number[inside]]
+            row, more, nxt = row[keep], more[keep], nxt[keep]
+            g, s, behind = t.column("g"), t.column("s"), t.column("behind").to_numpy()[row]
+            names = [xxhash.xxh3_128_digest(g[r].as_py() + s[r].as_py()[:d]) for r, d in zip(row.tolist(), more.tolist())]
+            before = REACH - behind + more
+            take = pa.array(row)
+            cols = [t.column("key").chunk(0).take(take), t.column("id").chunk(0).take(take), pa.array(before.astype(np.int32)), pa.array(behind.astype(np.int32)), pa.array(nxt.astype(np.int32)), pa.array(names, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "ctx", "before", "behind", "next", "repeat"])
 
-    last, group, out = None, {}, []
-    for batch in batches:
-        for key, ctx, raw, left in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if key != last:
-                if len(group) > 1:
-                    out.extend(flush(last, group))
-                last, group = key, {}
-                if len(out) > 50_000:
-                    yield rows(out)
-                    out = []
-            group[ctx] = (raw, left)
-    if len(group) > 1:
-        out.extend(flush(last, group))
-    yield rows(out)
-
-
-def _release(spark) -> None:
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def marked(docs: DataFrame, large: int = LARGE) -> DataFrame:
-    """Every row of ``docs``: uid, doc_id, n_bytes, sha, text (bytes; null if nothing can repeat), spans (start, end), merged."""
+    return run
+
+
+def _summary(batches):
+    """First and last string of each chunk and the depths of the intervals that touch them."""
+    kind = pa.list_(pa.int32())
+    for t, at in whole_groups(batches):
+        x, size = matrix(t.column("s").chunk(0))
+        lcp, s, ends = common(x, size), t.column("s"), [*at[1:].tolist(), t.num_rows]
+        inside = [lcp[lo + 1 : hi] for lo, hi in zip(at.tolist(), ends)]
+        lefts = [np.unique(np.minimum.accumulate(v)).tolist() for v in inside]
+        rights = [np.unique(np.minimum.accumulate(v[::-1])).tolist() for v in inside]
+        cols = [t.column("g").chunk(0).take(pa.array(at)), t.column("chunk").chunk(0).take(pa.array(at)), pa.array([s[lo].as_py() for lo in at.tolist()], pa.binary()), pa.array([s[hi - 1].as_py() for hi in ends], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(lefts, kind), pa.array(rights, kind)], names=["g", "chunk", "first", "last", "lefts", "rights"])
+
+
+def _cut_points(rows: DataFrame, hot: dict, share: int) -> dict:
+    """Group to its sorted cut points (s, id), from a sample by hash of about SAMPLES members for each chunk."""
+    spark = rows.sparkSession
+    names = F.broadcast(spark.createDataFrame([(g,) for g in hot], "g binary"))
+    few = rows.select("g", "s", "id").join(names, "g", "left_semi").where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(max(1, share // SAMPLES))) == 0).collect()
+    out = {g: [] for g in hot}
+    for g, some in groupby(sorted((bytes(r["g"]), bytes(r["s"]), r["id"]) for r in few), key=lambda r: r[0]):
+        some, n = list(some), -(-hot[g] // share)
+        out[g] = sorted({some[len(some) * k // n][1:] for k in range(1, n)})
+    return out
+
+
+def _dealt(shared, columns):
+    def run(batches):
+        for batch in batches:
+            cuts = shared.value
+            chunk = [bisect_right(cuts[g], (s, i)) for g, s, i in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("g", "s", "id")))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunk, pa.int32())], names=columns)
+
+    return run
+
+
+def scanned(rows: DataFrame, scan, schema: str) -> DataFrame:
+    """``scan`` over the groups ``g`` of ``rows`` (g, id, s, ...; a written table), each sorted by (s, id), large ones in chunks."""
+    spark = rows.sparkSession
+    share = max(SHARE, -(-rows.count() // pieces(spark)))
+    # groups of more than an even share: fewer than partitions
+    hot = {bytes(r["g"]): r["count"] for r in rows.groupBy("g").count().where(F.col("count") > share).collect()}
+    order = ("g", "chunk", "s", "id")
+    if not hot:
+        return rows.withColumn("chunk", F.lit(0)).repartition("g").sortWithinPartitions(*order).mapInArrow(scan(None), schema)
+    names = F.broadcast(spark.createDataFrame([(g,) for g in hot], "g binary"))
+    small = rows.join(names, "g", "left_anti").withColumn("chunk", F.lit(0)).repartition("g").sortWithinPartitions(*order)
+    cuts = spark.sparkContext.broadcast(_cut_points(rows, hot, share))
+    large = rows.join(names, "g", "left_semi").select(*rows.columns)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    large = large.mapInArrow(_dealt(cuts, [*rows.columns, "chunk"]), f"{kinds}, chunk int").repartition("g", "chunk").sortWithinPartitions(*order)
+    ends = large.select("g", "chunk", "s").mapInArrow(_summary, "g binary, chunk int, first binary, last binary, lefts array<int>, rights array<int>").collect()  # a row per chunk
+    edges = spark.sparkContext.broadcast(borders(ends))
+    return small.mapInArrow(scan(None), schema).unionAll(large.mapInArrow(scan(edges), schema))
+
+
+def _located(docs: DataFrame, work: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Places (uid, doc_id, n_bytes, sha, text, cores) of all rows, and the contexts (key, ctx, low, high) that they hold."""
     spark = docs.sparkSession
     bounded_batches(spark, rows=500, size=8 << 20)
     counts = docs.select("text").mapInArrow(_core_counts, "h long").groupBy("h").count().where("count > 1").select("h")
     again = spark.sparkContext.broadcast(_bitmap(counts))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    places = written(rows.mapInArrow(_places(again), _PLACES), "places")
-    _release(spark)
-    kept = [shared_dir(spark, "contexts"), shared_dir(spark, "reach")]
-    some = places.where("text is not null")
-    each = some.select("uid", F.explode("cores").alias("c")).select("uid", "c.at", "c.key", "c.ctx")
-    ids = F.xxhash64("uid", "at")
-    contexts = each.withColumn("id", ids).groupBy("key", "ctx").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    contexts = written(contexts, "contexts", kept[0])
-    # a core all of whose contexts occur again needs no search: they repeat as a whole
-    open_ = contexts.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("low") == F.col("high")).alias("lone")).where("n > 1 and lone > 0")
-    open_ = written(open_.select("key", "n"), "open")
-    picked = _bitmap(contexts.join(open_, "key", "left_semi").select(F.col("low").alias("h")))
-    shared = spark.sparkContext.broadcast((picked, _bitmap(open_.where(F.col("n") > large).select(F.col("key").alias("h")))))
-    _release(spark)
-    flat = some.select(
+    places = work.write(rows.mapInArrow(_places(again), _PLACES), "places")
+    each = _each(places).withColumn("id", F.xxhash64("uid", "at"))
+    return places, work.write(each.groupBy("key", "ctx").agg(F.min("id").alias("low"), F.max("id").alias("high")), "contexts")
+
+
+def _each(places: DataFrame) -> DataFrame:
+    return places.where("text is not null").select("uid", "doc_id", F.explode("cores").alias("c")).select("uid", "doc_id", "c.at", "c.key", "c.ctx")
+
+
+def _members(places: DataFrame, contexts: DataFrame, work: Scratch, every: bool) -> DataFrame:
+    """(key, ctx, before, behind, next, repeat): the contexts of each maximal repeat group.
+
+    Unless ``every``, cores all of whose contexts occur again are left out: they repeat as a whole, whatever else they share.
+    """
+    spark = places.sparkSession
+    open_ = contexts.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("low") == F.col("high")).alias("lone")).where("n > 1" if every else "n > 1 and lone > 0")
+    picked = spark.sparkContext.broadcast(_bitmap(contexts.join(open_, "key", "left_semi").select(F.col("low").alias("h"))))
+    flat = places.where("text is not null").select(
         "text", F.expr("cores.at").alias("at"), F.expr("cores.key").alias("key"), F.expr("cores.ctx").alias("ctx"), F.expr("transform(cores, c -> xxhash64(uid, c.at))").alias("ids")
     )
-    small = flat.mapInArrow(_emitted(shared, False), "key long, ctx long, raw binary, left int").repartition("key").sortWithinPartitions("key").mapInArrow(_scan_groups, _REACH)
-    wide = flat.mapInArrow(_emitted(shared, True), "key long, ctx long, before int, h long")
-    both = wide.groupBy("key", "before", "h").agg(F.min("ctx").alias("low"), F.max("ctx").alias("high")).where("low <> high").select("key", "before", "h")
-    wide = wide.join(both, ["key", "before", "h"], "left_semi").select("key", "ctx", "before", (F.lit(REACH) - F.col("before")).alias("behind"))
+    suffixes = work.write(flat.mapInArrow(_emitted(picked), _SUFFIX), "suffixes")
+    nodes = work.write(scanned(suffixes, _right_scan, _NODE), "nodes")
+    work.drop("suffixes")
+    return scanned(nodes, _left_scan, _MEMBER)
+
+
+def repeat_groups(docs: DataFrame) -> DataFrame:
+    """(repeat, n_bytes, doc_id, uid, start): every maximal repeat around a core with all its occurrences.
+
+    ``repeat`` names the repeated bytes, ``uid`` tells rows of one doc_id apart, ``start`` is in bytes. Written.
+    """
+    work = Scratch(docs.sparkSession)
+    places, contexts = _located(docs, work)
+    members = work.write(_members(places, contexts, work, True), "members")
+    right = members.groupBy("repeat").agg(F.min("next").alias("lo"), F.max("next").alias("hi")).where("lo <> hi or lo < 0").select("repeat")
+    inner = members.join(right, "repeat", "left_semi").select("key", "ctx", "repeat", "before", "behind")
+    # contexts that occur again as a whole are groups of their own
+    name = F.unhex(F.concat(F.lpad(F.hex("key"), 16, "0"), F.lpad(F.hex("ctx"), 16, "0")))
+    whole = contexts.where("low <> high").select("key", "ctx", name.alias("repeat"), F.lit(REACH).alias("before"), F.lit(REACH).alias("behind"))
+    both = _each(places).join(inner.unionByName(whole), ["key", "ctx"]).join(places.select("uid", "n_bytes"), "uid")
+    start, end = F.greatest(F.col("at") - F.col("before"), F.lit(0)), F.least(F.col("at") + CORE + F.col("behind"), F.col("n_bytes"))
+    found = both.select("repeat", (end - start).cast("long").alias("n_bytes"), "doc_id", "uid", start.cast("long").alias("start")).where(f"n_bytes >= {LENGTH}")
+    out = Scratch(docs.sparkSession).write(found, "groups")
+    work.clear()
+    return out
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """Every row of ``docs``: uid, doc_id, n_bytes, sha, text (bytes; null if nothing can repeat), spans (start, end)."""
+    work, kept = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    places, contexts = _located(docs, kept)
+    members = _members(places, contexts, work, False).select("key", "ctx", "before", "behind")
     whole = contexts.where("low <> high").select("key", "ctx", F.lit(REACH).alias("before"), F.lit(REACH).alias("behind"))
-    reach = small.unionByName(wide).unionByName(whole).groupBy("key", "ctx").agg(F.max("before").alias("before"), F.max("behind").alias("behind"))  # all hold the core: one stretch
-    reach = written(reach, "reach", kept[1])
-    _release(spark)
-    met = each.join(reach, ["key", "ctx"]).select("uid", F.expr("at - before").alias("lo"), F.expr("at + %d + behind" % CORE).alias("hi"))
-    spans = met.distinct().groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-    spans = written(spans, "spans")
-    for old in kept:
-        remove(spark, old)
-    _release(spark)
+    reach = members.unionByName(whole).groupBy("key", "ctx").agg(F.max("before").alias("before"), F.max("behind").alias("behind"))  # all hold the core: one stretch
+    reach = work.write(reach, "reach")
+    work.drop("nodes")
+    kept.drop("contexts")
+    met = _each(places).join(reach, ["key", "ctx"]).select("uid", F.expr("at - before").alias("lo"), F.expr("at + %d + behind" % CORE).alias("hi"))
+    spans = kept.write(met.distinct().groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans")), "spans")
+    work.clear()
     return places.drop("cores").join(spans, "uid", "left")
 
 
@@ -341,9 +486,9 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([doc, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def cut(docs: DataFrame, large: int = LARGE) -> DataFrame:
+def cut(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept``: the remaining bytes (null where the text is whole)."""
-    rows = marked(docs, large)
+    rows = marked(docs)
     return rows.select("doc_id", "n_bytes", "sha", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from termforge.llm import decontam, langid, minhash, repeats, secret_scan
@@ -101,8 +102,9 @@ def repeat_rows():
     return [(i % 33, t, "z") for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("large", [repeats.LARGE, 2])
-def test_cuts_equal_brute_force(spark, large):
+@pytest.mark.parametrize("share", [repeats.SHARE, 2])
+def test_cuts_equal_brute_force(spark, monkeypatch, share):
+    monkeypatch.setattr(repeats, "SHARE", share)
     rows = repeat_rows()
     raw = [(t or "").encode() for _, t, _ in rows]
     seen = Counter(t[i : i + 200] for t in raw for i in range(len(t) - 199))
@@ -116,30 +118,54 @@ def test_cuts_equal_brute_force(spark, large):
         runs = sum(1 for i in range(len(t)) if hit[i] and (not i or not hit[i - 1]))
         expected.append((d, len(t), len(t) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
     df = spark.createDataFrame(rows, "doc_id long, text string, uid string")
-    got = [tuple(r) for r in repeats.cut(df, large).drop("kept").collect()]
+    got = [tuple(r) for r in repeats.cut(df).drop("kept").collect()]
     assert sorted(got) == sorted(expected)
     assert any(n for _, _, n, _, _ in got)
 
 
-def test_repeats_of_nothing(spark):
-    assert repeats.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+@pytest.mark.parametrize("share", [repeats.SHARE, 2])
+def test_groups_are_maximal_and_hold_all_occurrences(spark, monkeypatch, share):
+    """Against all pairs: what two places share around a core is a group, and a group is all places that have its bytes there."""
+    monkeypatch.setattr(repeats, "SHARE", share)
+    rows = repeat_rows()[:33]
+    raw = [(t or "").encode() for _, t, _ in rows]
+    found: dict = {}
+    for r in repeats.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string, uid string")).collect():
+        found.setdefault(bytes(r["repeat"]), set()).add((r["doc_id"], r["start"], r["n_bytes"]))
+    own = {d: t for (d, _, _), t in zip(rows, raw)}
+    assert len(own) == len(rows) and found
+    covered: dict = {}
+    for members in found.values():
+        assert len(members) > 1
+        texts = {own[d][s : s + n] for d, s, n in members}
+        assert len(texts) == 1 and len(next(iter(texts))) >= 200
+        for d, s, n in members:
+            covered.setdefault(d, set()).update(range(s, s + n - 199))
+    seen = Counter(t[i : i + 200] for t in raw for i in range(len(t) - 199))
+    for d, t in own.items():
+        assert covered.get(d, set()) == {i for i in range(len(t) - 199) if seen[t[i : i + 200]] > 1}
 
 
-def test_maximal_repeats_are_maximal_and_whole():
+def test_memberships_of_chunks_equal_those_of_the_whole():
     rng = random.Random(3)
-    for _ in range(60):
-        n = rng.randrange(2, 9)
-        rights, lefts = ([bytes(rng.choice(b"ab") for _ in range(rng.randrange(6))) for _ in range(n)] for _ in "rl")
-        pairs = {(i, j): (repeats._shared(lefts[i], lefts[j]), repeats._shared(rights[i], rights[j])) for i in range(n) for j in range(n) if i != j}
-        reach = {i: set() for i in range(n)}
-        for left, right, members in repeats.maximal_repeats(rights, lefts, 0):
-            assert len(members) > 1
-            for i in members:
-                assert all(pairs[i, j][0] >= left and pairs[i, j][1] >= right for j in members if j != i)
-                reach[i].add((left, right))
-        for (i, _), (left, right) in pairs.items():
-            if left or right:
-                assert any(a >= left and b >= right for a, b in reach[i]), (i, left, right, reach[i])
+    for _ in range(300):
+        n = rng.randrange(2, 14)
+        rows = sorted((bytes(rng.choice(b"ab") for _ in range(rng.randrange(6))), i) for i in range(n))
+        cuts = sorted({rng.choice(rows) for _ in range(rng.randrange(1, 4))})
+        chunk = [sum(c <= r for c in cuts) for r in rows]
+        make = lambda ch: pa.table({"g": pa.array([b"g"] * n, pa.binary()), "chunk": pa.array(ch, pa.int32()), "s": pa.array([s for s, _ in rows], pa.binary())})
+        pairs = {(i, repeats.shared_length(rows[i][0], rows[j][0])) for i in range(n) for j in range(n) if i != j}
+        row, depth, _ = repeats.memberships(make([0] * n), np.array([0]), None)
+        assert set(zip(row.tolist(), depth.tolist())) == pairs
+        t = make(chunk)
+        at = repeats._parts(t)
+        ends = [r for b in repeats._summary(t.to_batches()) for r in b.to_pylist()]
+        row, depth, number = repeats.memberships(t, at, repeats.borders(ends))
+        assert set(zip(row.tolist(), depth.tolist())) == pairs and len(row) == len(set(zip(row.tolist(), depth.tolist())))
+
+
+def test_repeats_of_nothing(spark):
+    assert repeats.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 # ---------------------------------------------------------------- decontamination
@@ -247,7 +273,7 @@ def test_languages_are_told_apart_on_held_out_texts(spark):
 
 
 def test_texts_without_letters_are_undetermined(spark):
-    rows = [(i, t, y) for i, (t, y) in enumerate([("the and of", "en"), ("der die das", "de")] * 20)] + [(100, None, "en"), (101, "12 !?", "en"), (102, "", None), (None, "the", "en"), (103, "das der", None)]
+    rows = [(i, t, y) for i, (t, y) in enumerate([("the and of", "en"), ("der die das", "de")] * 20)] + [(100, None, "en"), (101, "12 !? ½ ²①", "en"), (102, "", None), (None, "the", "en"), (103, "das der", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as score")
     got = {r["doc_id"]: r for r in langid.digest(df).collect()}
     assert len(got) == 45 and {got[i]["lang_pred"] for i in (100, 101, 102)} == {"und"} and got[103]["lang_pred"] == "de" and got[None]["lang_pred"] == "en"
@@ -256,6 +282,29 @@ def test_texts_without_letters_are_undetermined(spark):
     assert langid.digest(df.limit(0)).count() == 0
 
 
+def test_weights_are_nystrom_ridge_regression():
+    """Without the operator's own weights: features, ridge solution and predictions from explicit kernels."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(("the", "and", "of", "it") if k % 2 else ("der", "und", "das", "ist")) for _ in range(rng.randrange(2, 9))) for k in range(40)]
+    langs = ["en" if k % 2 else "de" for k in range(40)]
+    m = langid.fit(texts, langs, landmarks_per_lang=6, ridge=1e-3)
+    grams = lambda t: {t.encode()[i : i + n] for n in (1, 2, 3) for i in range(len(t.encode()) - n + 1)}
+    kernel = lambda a, b: len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b)))
+    marks = [t for y in ("de", "en") for t in [t for t, z in zip(texts, langs) if z == y][:6]]
+    inner = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(inner)
+    good = values > values.max() * 1e-8
+    root = vectors[:, good] @ np.diag(values[good] ** -0.5)
+    phi = np.array([[kernel(t, z) for z in marks] for t in texts]) @ root
+    y = np.array([[z == "de", z == "en"] for z in langs], float)
+    w = np.linalg.inv(phi.T @ phi + 1e-3 * len(texts) * np.eye(phi.shape[1])) @ phi.T @ y
+    unseen = ["the ist", "und der und", "of of it", "xyz das"]
+    scores = np.array([[kernel(t, z) for z in marks] for t in unseen]) @ root @ w
+    got, best = langid.Classifier(m).predict(unseen)
+    assert got == [("de", "en")[k] for k in scores.argmax(1)]
+    assert np.allclose(best, scores.max(1).clip(0, 1), atol=1e-4)
+
+
 def test_scores_equal_the_kernel_written_out():
     m = langid.fit(["the and of", "der die das", "the of it", "und das der"], ["en", "de", "en", "de"], landmarks_per_lang=2)
     grams = lambda t: {t.encode()[i : i + n] for n in (1, 2, 3) for i in range(len(t.encode()) - n + 1)}
