@@ -292,18 +292,23 @@ def _right_scan(edges):
                 for lo in range(0, len(of := np.flatnonzero(behind == d)), 20_000):
                     own = of[lo : lo + 20_000]
                     h[own] = (back[row[own], : REACH - d].astype(np.uint64) + np.uint64(1)) @ _POWERS[: REACH - d]
+            x, length = matrix(t.column("s").chunk(0))
+            inside = behind < length[row]
+            nxt = np.full(len(row), -1)
+            nxt[inside] = x[row[inside], behind[inside]]
+            # members of an interval with equal left sides; if they all go on with one byte, what they share is a part of a longer repeat
             order = np.lexsort((h, number))
-            same = (number[order][1:] == number[order][:-1]) & (h[order][1:] == h[order][:-1])
-            pair = np.zeros(len(row), bool)
-            pair[order[1:]] |= same
-            pair[order[:-1]] |= same
-            keep = np.flatnonzero(pair | (number < 0))
-            g, ctx, s, b = (t.column(c) for c in ("g", "id", "s", "back"))
+            start = np.flatnonzero(np.concatenate([[True], (number[order][1:] != number[order][:-1]) | (h[order][1:] != h[order][:-1])])) if len(row) else np.zeros(0, np.int64)
+            n = np.diff(np.append(start, len(row)))
+            low, high = (op.reduceat(nxt[order], start) if len(row) else nxt for op in (np.minimum, np.maximum))
+            good = np.zeros(len(row), bool)
+            good[order] = np.repeat((n > 1) & ((low != high) | (low < 0)), n)
+            keep = np.flatnonzero(good | (number < 0))
+            g, ctx, s, b = (t.column(c).to_pylist() for c in ("g", "id", "s", "back"))
             out: list = []
-            for r, d in zip(row[keep].tolist(), behind[keep].tolist()):
-                core, right, left = g[r].as_py(), s[r].as_py(), b[r].as_py()
-                name = xxhash.xxh3_128_digest(core + bytes([d]) + right[:d] + left[: REACH - d])
-                out.append((name, ctx[r].as_py(), left[REACH - d :], struct.unpack(">q", core)[0], d, right[d] if d < len(right) else -1))
+            for r, d, e in zip(row[keep].tolist(), behind[keep].tolist(), nxt[keep].tolist()):
+                left = b[r]
+                out.append((xxhash.xxh3_128_digest(g[r] + bytes([d]) + s[r][:d] + left[: REACH - d]), ctx[r], left[REACH - d :], struct.unpack(">q", g[r])[0], d, e))
             cols = list(zip(*out)) or [()] * 6
             kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=["g", "id", "s", "key", "behind", "next"])
@@ -311,31 +316,53 @@ def _right_scan(edges):
     return run
 
 
+def _left_intervals(t: pa.Table, at: np.ndarray, edges: dict | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, more, next) of each member of each interval of left extensions; the group has ``more`` bytes more on the left.
+
+    An interval whose members go on with one byte on the right is a part of a longer repeat and left out if it lies in one
+    chunk; if it goes over a border, ``repeat_groups`` tells.
+    """
+    row, more, number = memberships(t, at, edges)
+    nxt = t.column("next").to_numpy()[row]
+    inside = np.flatnonzero(number >= 0)
+    low, high = np.full(number.max(initial=-1) + 1, 256), np.full(number.max(initial=-1) + 1, -2)
+    np.minimum.at(low, number[inside], nxt[inside])
+    np.maximum.at(high, number[inside], nxt[inside])
+    keep = np.ones(len(row), bool)
+    keep[inside] = ((low != high) | (low < 0))[number[inside]]
+    return row[keep], more[keep], nxt[keep]
+
+
 def _left_scan(edges):
-    """For each member and each interval of left extensions: a row of the maximal repeat. An interval that is not diverse on
-    its right is a part of a longer repeat and left out, if it lies in one chunk; else ``repeat_groups`` tells."""
+    """A row for each member of each maximal repeat."""
 
     def run(batches):
         for t, at in whole_groups(batches):
-            row, more, number = memberships(t, at, edges and edges.value)
-            nxt = t.column("next").to_numpy()[row]
-            inside = np.flatnonzero(number >= 0)
-            low, high = np.full(number.max(initial=-1) + 1, 256), np.full(number.max(initial=-1) + 1, -2)
-            np.minimum.at(low, number[inside], nxt[inside])
-            np.maximum.at(high, number[inside], nxt[inside])
-            keep = np.ones(len(row), bool)
-            keep[inside] = ((low != high) | (low < 0))[number[inside]]
-            row, more, nxt = row[keep], more[keep], nxt[keep]
-            g, s, behind = t.column("g"), t.column("s"), t.column("behind").to_numpy()[row]
-            names = [xxhash.xxh3_128_digest(g[r].as_py() + s[r].as_py()[:d]) for r, d in zip(row.tolist(), more.tolist())]
-            before = REACH - behind + more
-            take = pa.array(row)
-            cols = [t.column("key").chunk(0).take(take), t.column("id").chunk(0).take(take), pa.array(before.astype(np.int32)), pa.array(behind.astype(np.int32)), pa.array(nxt.astype(np.int32)), pa.array(names, pa.binary())]
+            row, more, nxt = _left_intervals(t, at, edges and edges.value)
+            g, s, behind, take = t.column("g").to_pylist(), t.column("s").to_pylist(), t.column("behind").to_numpy()[row], pa.array(row)
+            names = [xxhash.xxh3_128_digest(g[r] + s[r][:d]) for r, d in zip(row.tolist(), more.tolist())]
+            cols = [t.column("key").chunk(0).take(take), t.column("id").chunk(0).take(take), pa.array((REACH - behind + more).astype(np.int32)), pa.array(behind.astype(np.int32)), pa.array(nxt.astype(np.int32)), pa.array(names, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["key", "ctx", "before", "behind", "next", "repeat"])
 
     return run
 
 
+def _reach_scan(edges):
+    """Of each member only how far its maximal repeats reach."""
+
+    def run(batches):
+        for t, at in whole_groups(batches):
+            row, more, _ = _left_intervals(t, at, edges and edges.value)
+            most = np.full(t.num_rows, -1)
+            np.maximum.at(most, row, more)
+            own = np.flatnonzero(most >= 0)
+            take, behind = pa.array(own), t.column("behind").to_numpy()[own]
+            cols = [t.column("key").chunk(0).take(take), t.column("id").chunk(0).take(take), pa.array((REACH - behind + most[own]).astype(np.int32)), pa.array(behind.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "ctx", "before", "behind"])
+
+    return run
+
+
 def _summary(batches):
     """First and last string of each chunk and the depths of the intervals that touch them."""
     kind = pa.list_(pa.int32())
@@ -410,7 +437,7 @@ def _each(places: DataFrame) -> DataFrame:
 def _members(places: DataFrame, contexts: DataFrame, work: Scratch, every: bool) -> DataFrame:
     """(key, ctx, before, behind, next, repeat): the contexts of each maximal repeat group.
 
-    Unless ``every``, cores all of whose contexts occur again are left out: they repeat as a whole, whatever else they share.
+    Unless ``every``, only how far the groups of a context reach (key, ctx, before, behind), and cores all of whose contexts occur again are left out: they repeat as a whole, whatever else they share.
     """
     spark = places.sparkSession
     open_ = contexts.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("low") == F.col("high")).alias("lone")).where("n > 1" if every else "n > 1 and lone > 0")
@@ -421,7 +448,7 @@ def _members(places: DataFrame, contexts: DataFrame, work: Scratch, every: bool)
     suffixes = work.write(flat.mapInArrow(_emitted(picked), _SUFFIX), "suffixes")
     nodes = work.write(scanned(suffixes, _right_scan, _NODE), "nodes")
     work.drop("suffixes")
-    return scanned(nodes, _left_scan, _MEMBER)
+    return scanned(nodes, _left_scan, _MEMBER) if every else scanned(nodes, _reach_scan, "key long, ctx long, before int, behind int")
 
 
 def repeat_groups(docs: DataFrame) -> DataFrame:
@@ -449,7 +476,7 @@ def marked(docs: DataFrame) -> DataFrame:
     """Every row of ``docs``: uid, doc_id, n_bytes, sha, text (bytes; null if nothing can repeat), spans (start, end)."""
     work, kept = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
     places, contexts = _located(docs, kept)
-    members = _members(places, contexts, work, False).select("key", "ctx", "before", "behind")
+    members = _members(places, contexts, work, False)
     whole = contexts.where("low <> high").select("key", "ctx", F.lit(REACH).alias("before"), F.lit(REACH).alias("behind"))
     reach = members.unionByName(whole).groupBy("key", "ctx").agg(F.max("before").alias("before"), F.max("behind").alias("behind"))  # all hold the core: one stretch
     reach = work.write(reach, "reach")
