@@ -23,7 +23,7 @@ def model_fields(line):
 
 def test_csv_lines(spark):
     rng = random.Random(3)
-    lines = ["".join(rng.choice('ab,," ') for _ in range(rng.randrange(16))) for _ in range(1000)] + ['a,"b,c",d', '"a""b",c', 'x,"open, to the end', ""]
+    lines = ["".join(rng.choice('ab,," ') for _ in range(rng.randrange(16))) for _ in range(1000)] + ['a,"b,c",d', '"a""b",c', 'x,"open, to the end', "", 'a\x01b,"c\x01\x02,d",\x01\x03']
     for r in spark.createDataFrame([(x,) for x in lines], "l string").select("l", source.csv_fields(F.col("l")).alias("f")).collect():
         assert r["f"] == model_fields(r["l"]), r
 
@@ -66,6 +66,20 @@ def test_lexicon_csv_gives_the_same_words_back(spark, tmp_path):
     assert lines == ['"word","word_id","frequency"', '"cells","1","9"', '"virus","0","3"']
 
 
+def test_of_repeated_words_the_last_row_counts(spark, tmp_path):
+    (tmp_path / "lex.csv").write_text('word,word_id,frequency\n"virus",7,3\n"cells",1,9\n"virus",2,5\nbad,x,1\n')
+    assert sorted(map(tuple, stored.load_lexicon_csv(spark, str(tmp_path / "lex.csv")).collect())) == [("cells", 1, 9), ("virus", 2, 5)]
+
+
+def test_first_documents_and_words_as_csv(spark, tmp_path):
+    fwd = spark.createDataFrame([(0, "a", 5, "x", 2), (1, "b", 5, "x", 1), (2, "c", 6, "y", 1)], "doc_num long, doc_id string, word_id long, word string, frequency long")
+    stored.save_first_documents_csv(fwd, 2, str(tmp_path / "f"))
+    assert sorted(map(tuple, spark.read.csv(str(tmp_path / "f"), header=True).collect())) == [("a", "5", "2"), ("b", "5", "1")]
+    post = fwd.selectExpr("word_id", "word", "doc_num as doc_id", "frequency")
+    stored.save_first_words_csv(post, 1, str(tmp_path / "w"))
+    assert sorted(map(tuple, spark.read.csv(str(tmp_path / "w"), header=True).collect())) == [("5", "x", "0", "2"), ("5", "x", "1", "1")]
+
+
 def test_postings_csv_and_barrel_export(spark, tmp_path):
     post = spark.createDataFrame([(0, "virus", 1, 2, 0), (5, "cells", 1, 1, 1)], "word_id long, word string, doc_id long, frequency long, barrel_id long")
     stored.export_barrels_csv(post, str(tmp_path / "b"))
