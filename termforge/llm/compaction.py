@@ -9,7 +9,8 @@ State is a manifest, one JSON file per version. A commit writes it to a name of
 ``manifest-<version>``; the rename fails if that version exists, so of two writers one commits and the other starts
 over on the newer version. Readers take the highest version and see either all of a commit or none of it. Shards that no
 manifest of the last versions names are deleted by ``vacuum`` alone; failed or repeated tasks leave nothing that a
-manifest names.
+manifest names. A writer leaves a record in ``inflight`` before it writes shards and takes it back after its commit, so that
+``vacuum`` spares shards that are written but not yet named; records older than ``grace`` seconds are those of dead writers.
 
 Defined cases: rows are kept as they are - nulls, repeats, any columns of a single schema; an empty arrival adds a version
 without shards; a store without versions reads as nothing; nothing depends on the order of rows.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -51,6 +53,7 @@ class Store:
         self._fs = self._hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._p("shards"))
         self._fs.mkdirs(self._p("manifests"))
+        self._fs.mkdirs(self._p("inflight"))
 
     def _p(self, rest: str):
         return self._hadoop.Path(f"{self.path}/{rest}")
@@ -101,9 +104,17 @@ class Store:
 
     # -------------------------------------------------------- shards
 
-    def _write(self, df: DataFrame, level: int) -> list[Shard]:
-        """``df`` as new shard files; what they hold is read back from their footers."""
+    def _begin(self) -> str:
+        """A new run of shards, on record until ``_end``."""
         run = uuid.uuid4().hex
+        self._fs.create(self._p(f"inflight/{run}"), False).close()
+        return run
+
+    def _end(self, run: str) -> None:
+        self._fs.delete(self._p(f"inflight/{run}"), False)
+
+    def _write(self, df: DataFrame, level: int, run: str) -> list[Shard]:
+        """``df`` as new shard files; what they hold is read back from their footers."""
         df.write.parquet(f"{self.path}/shards/{run}")
         files = {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(self._p(f"shards/{run}")) if s.getPath().getName().startswith("part-")}
         if not files:
@@ -113,15 +124,19 @@ class Store:
 
     def append(self, df: DataFrame) -> int:
         """Add an arrival as small shards; returns the committed version."""
-        schema, new = df.schema.json(), self._write(df, 0)
-        while True:
-            base = self.manifest()
-            if base["schema"] and base["schema"] != schema:
-                raise ValueError("an arrival must have the columns of the store")
-            try:
-                return self.commit(base, schema, base["shards"] + new)
-            except ConflictError:
-                continue
+        schema, run = df.schema.json(), self._begin()
+        try:
+            new = self._write(df, 0, run)
+            while True:
+                base = self.manifest()
+                if base["schema"] and base["schema"] != schema:
+                    raise ValueError("an arrival must have the columns of the store")
+                try:
+                    return self.commit(base, schema, base["shards"] + new)
+                except ConflictError:
+                    continue
+        finally:
+            self._end(run)
 
     def tier(self, s: Shard) -> int:
         return 0 if s.size <= self.floor else 1 + int(math.log(s.size / self.floor, self.fanout))
@@ -137,20 +152,23 @@ class Store:
     def compact(self) -> int:
         """Merge similar shards until no tier is full; returns the version then current."""
         while due := self.runs((base := self.manifest())["shards"]):
-            run = due[0]
-            size = sum(s.size for s in run)
-            df = self._read(run, base["schema"])
-            merged = self._write(df.coalesce(max(1, round(size / self.target))), 1 + max(s.level for s in run))
-            gone = {s.name for s in run}
-            while True:
-                now = self.manifest()
-                if not gone <= {s.name for s in now["shards"]}:
-                    break  # another compaction was first: its result stands, and ours is never named
-                try:
-                    self.commit(now, now["schema"], [s for s in now["shards"] if s.name not in gone] + merged)
-                    break
-                except ConflictError:
-                    continue
+            old, run = due[0], self._begin()
+            try:
+                size = sum(s.size for s in old)
+                df = self._read(old, base["schema"])
+                merged = self._write(df.coalesce(max(1, round(size / self.target))), 1 + max(s.level for s in old), run)
+                gone = {s.name for s in old}
+                while True:
+                    now = self.manifest()
+                    if not gone <= {s.name for s in now["shards"]}:
+                        break  # another compaction was first: its result stands, and ours is never named
+                    try:
+                        self.commit(now, now["schema"], [s for s in now["shards"] if s.name not in gone] + merged)
+                        break
+                    except ConflictError:
+                        continue
+            finally:
+                self._end(run)
         return base["version"]
 
     def _read(self, shards: list[Shard], schema: str) -> DataFrame:
@@ -168,19 +186,28 @@ class Store:
             raise ValueError("the store is empty")
         return self._read(m["shards"], m["schema"])
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete manifests but the last ``keep``, then shard files that none of these names; returns how many files."""
+    def vacuum(self, keep: int = 2, grace: float = 3600.0) -> int:
+        """Delete manifests but the last ``keep``, then shard files that none of these names; returns how many files.
+
+        Readers of older versions than the last ``keep`` must have ended. Shards are listed first, then the records of
+        writers, then manifests: what was listed is still on record, or its commit is seen.
+        """
+        runs = [d.getPath() for d in self._fs.listStatus(self._p("shards"))]
+        born = time.time() - grace
+        busy = {s.getPath().getName() for s in self._fs.listStatus(self._p("inflight")) if s.getModificationTime() / 1000 >= born}
         known = self.versions()
         live = {s.name for v in known[-keep:] for s in self.manifest(v)["shards"]}
         for v in known[:-keep]:
             self._fs.delete(self._p(f"manifests/manifest-{v:010d}"), False)
         n = 0
-        for d in self._fs.listStatus(self._p("shards")):
-            files = [f for f in self._fs.listStatus(d.getPath()) if f.getPath().getName().startswith("part-")]
-            dead = [f for f in files if f"{d.getPath().getName()}/{f.getPath().getName()}" not in live]
+        for d in runs:
+            if d.getName() in busy:
+                continue
+            files = [f for f in self._fs.listStatus(d) if f.getPath().getName().startswith("part-")]
+            dead = [f for f in files if f"{d.getName()}/{f.getPath().getName()}" not in live]
             n += len(dead)
             if len(dead) == len(files):
-                self._fs.delete(d.getPath(), True)
+                self._fs.delete(d, True)
             else:
                 for f in dead:
                     self._fs.delete(f.getPath(), False)
@@ -188,10 +215,10 @@ class Store:
 
 
 def ingest(spark: SparkSession, files: list[str], path: str, **sizes) -> Store:
-    """Append each of ``files`` as an arrival, compacting and vacuuming after each."""
+    """A new store in which each of ``files`` is an arrival, compacted and vacuumed after each; nobody reads it meanwhile."""
     store = Store(spark, path, **sizes)
     for f in files:
         store.append(spark.read.parquet(f))
         store.compact()
-        store.vacuum()
+        store.vacuum(keep=1)
     return store

@@ -8,28 +8,29 @@ own kernel matrix (Nyström), and one ridge regression per language against the
 Only n-grams of landmarks can be shared with one, so a batch of texts becomes a presence matrix over the landmarks'
 n-grams; its product with the landmarks' presence gives all kernel values, and one more product all scores.
 
-The training sample is bounded by design: at most ``per_lang`` labelled texts of each language (those with the
-smallest hash of doc_id), of which ``landmarks_per_lang`` are landmarks; everything else covers all rows.
+The training sample is bounded by design: at most ``per_lang`` labelled texts of each language, those first by hash of doc_id
+and text, and of these as many whole texts as come to ``bytes_per_lang`` bytes; ``landmarks_per_lang`` of them are landmarks.
+Everything else covers all rows.
 
-Defined cases: null text or text without a letter is ``und`` with score 0, as is everything when nothing is labelled;
-ties go to the language that sorts first; repeated rows are all kept; an empty table gives no rows; languages, sources
+Defined cases: null text or text without a letter (Unicode category L) is ``und`` with score 0, as is everything when nothing is labelled;
+ties go to the language that sorts first; repeated rows are all kept (in the sample, rows of equal id, language and text count once); an empty table gives no rows; languages, sources
 and ids are never inputs of a prediction. The score is the winning regression value, clipped to 0..1.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termforge.llm.common import bounded_batches
 
-letter = re.compile(r"[^\W\d_]")
+letter = regex.compile(r"\p{L}")
 UND = "und"
 
 
@@ -78,11 +79,16 @@ def fit(texts: list[str], langs: list[str], landmarks_per_lang: int = 40, ridge:
     codes = [[np.unique(c) for c in gram_codes(rows[i][0])] for i in marks]
     grams = tuple(np.unique(np.concatenate([c[k] for c in codes])) for k in range(3))
     scan = Scanner(grams)
-    x, sizes = np.zeros((len(rows), scan.bases[-1]), np.float32), np.zeros(len(rows))
+    z, sizes, both = np.zeros((scan.bases[-1], len(marks)), np.float32), np.zeros(len(rows)), np.zeros((len(rows), len(marks)))
+    for k, c in enumerate(codes):
+        z[np.concatenate([base + np.searchsorted(known, own) for own, known, base in zip(c, grams, scan.bases)]), k] = 1
+    row = np.zeros(scan.bases[-1], np.float32)  # one text at a time: the sample's n-grams are never one matrix
     for i, (t, _) in enumerate(rows):
-        sizes[i] = scan.presence(t, x[i])
-    z, z_sizes = x[marks].T.copy(), sizes[marks]
-    kernel = (x @ z).astype(float) / np.sqrt(sizes[:, None] * z_sizes)
+        row[:] = 0
+        sizes[i] = scan.presence(t, row)
+        both[i] = row @ z
+    z_sizes = sizes[marks]
+    kernel = both / np.sqrt(sizes[:, None] * z_sizes)
     values, vectors = np.linalg.eigh(kernel[marks])
     keep = values > values.max() * 1e-8
     root = vectors[:, keep] / np.sqrt(values[keep])
@@ -119,16 +125,19 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, per_lang: int = 200) -> list:
-    """Up to ``per_lang`` labelled rows of each language that may be learned from, by hash of doc_id.
+def sample(docs: DataFrame, per_lang: int = 200, bytes_per_lang: int = 16 << 20) -> list:
+    """Up to ``per_lang`` labelled rows (lang, text) of each language that may be learned from, by hash of doc_id and text.
 
-    Ids are picked first, by a windowed rank that Spark limits before the shuffle; only their texts reach the driver.
+    Rows are picked first, by a windowed rank that Spark limits before the shuffle; then those whose texts come to at most
+    ``bytes_per_lang`` bytes together, in this order; only their texts reach the driver.
     """
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = own.select("doc_id", "lang").withColumn("k", rank).where(f"k <= {per_lang}").select("doc_id", "lang").distinct()
-    texts = own.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi") if picked.count() else own.limit(0)
-    return texts.dropDuplicates(["doc_id", "lang"]).orderBy("lang", F.xxhash64("doc_id"), "doc_id").collect()
+    own = own.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("g", F.xxhash64(F.lit(1), "doc_id", "text"))
+    order = Window.partitionBy("lang").orderBy("h", "g")
+    few = own.select("lang", "h", "g", F.octet_length("text").cast("long").alias("n")).withColumn("k", F.dense_rank().over(order)).where(f"k <= {per_lang}").distinct()
+    picked = few.withColumn("all", F.sum("n").over(order)).where(F.col("all") <= bytes_per_lang).select("lang", "h", "g")
+    texts = own.join(F.broadcast(picked), ["lang", "h", "g"], "left_semi")  # at most per_lang rows a language
+    return texts.dropDuplicates(["lang", "h", "g"]).orderBy("lang", "h", "g").select("lang", "text").collect()
 
 
 def learn(docs: DataFrame, per_lang: int = 200, landmarks_per_lang: int = 40) -> Model | None:

@@ -9,7 +9,8 @@ Positions come from splitting: what ``split`` leaves between the matches and wha
 matches alternate, so running sums of their lengths are the starts, in code points.
 
 Defined cases: null text is the empty blob, without findings; rows with the same path or text are all kept; an empty
-table gives no rows; other columns pass by. Java's ``(?i)`` folds ASCII letters only, as asked for.
+table gives no rows; other columns pass by. Only texts with findings are on the other side when findings are joined back, and
+a blob of very many rows is split by Spark's skew join, as no aggregation follows. Java's ``(?i)`` folds ASCII letters only, as asked for.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from termforge.llm.common import shared_dir
+from termforge.llm.common import Scratch, shared_dir
 
 
 @dataclass(frozen=True)
@@ -110,12 +111,14 @@ class Ledger:
     def scan(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> None:
         """Scan what is unseen. Findings are appended first: a run that fails between the two appends is
         repeated as a whole, and ``matched`` counts a finding once however often it was appended."""
-        new = self.unseen(versions, rules)
+        work = Scratch(self.spark)
+        new = work.write(self.unseen(versions, rules), "unseen")
         spans_of(new, rules).write.mode("append").parquet(f"{self.path}/findings")
         versions_by = {r.kind: r.version for r in rules}
         mapped = F.create_map(*[F.lit(x) for kv in versions_by.items() for x in kv])
-        done = self.unseen(versions.select("text"), rules).select("blob", F.explode("kinds").alias("kind"))
+        done = new.select("blob", F.explode("kinds").alias("kind"))
         done.select("blob", "kind", mapped[F.col("kind")].cast("int").alias("version")).write.mode("append").parquet(f"{self.path}/scanned")
+        work.clear()
 
     def by_blob(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """One row per blob with spans: its spans at the rules' versions, ordered by start and then by kind."""

@@ -2,7 +2,7 @@
 
 A shard file holds documents in ascending key order:
 
-    blocks   each: entries, then their restart count; compressed with zstd
+    blocks   each: entries, then the offsets of its restarts and their number (4 bytes each); compressed with zstd
     index    one entry per block: last key, offset, stored size
     bloom    bit array over the keys
     footer   fixed 64 bytes: magic, offsets and sizes of index and bloom, counts, id width
@@ -10,10 +10,11 @@ A shard file holds documents in ascending key order:
 An entry is (shared prefix length, rest length, value length) as varints, the rest of the key, then the ids
 as little-endian unsigned integers of the shard's id width (2 bytes where every id of the vocabulary fits, else 4).
 A key is the big-endian doc_id with its sign bit flipped, so that bytes order as numbers do; a null doc_id has
-the empty key and stands first. A lookup asks the Bloom filter, bisects the sparse block index and reads one block.
+the empty key and stands first. Every 16th entry is a restart: it shares no prefix. A lookup asks the Bloom filter, bisects
+the sparse block index, reads one block and bisects its restarts.
 
 Defined cases: null text counts as empty and still gets its end id; rows with the same doc_id are all kept, ordered by
-their text; an empty table gives no shards and no rows; other columns are ignored.
+the hash of their text, then by it; an empty table gives no shards and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
 import xxhash
@@ -42,7 +44,7 @@ BLOCK_BYTES = 64 << 10
 RESTART = 16
 BLOOM_BITS_PER_KEY = 10
 BLOOM_HASHES = 7
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 1_000_000
 
 
 # ---------------------------------------------------------------- keys and entries
@@ -86,7 +88,7 @@ class Writer:
 
     def __init__(self, out, width: int):
         self.out, self.width, self.at = out, width, 0
-        self.block, self.prev, self.in_block = bytearray(), b"", 0
+        self.block, self.prev, self.in_block, self.restarts = bytearray(), b"", 0, []
         self.index, self.keys, self.n_ids, self.n_docs = [], [], 0, 0
         self.zip = zstandard.ZstdCompressor(level=1)
 
@@ -95,6 +97,8 @@ class Writer:
         if self.in_block % RESTART:
             while shared < min(len(key), len(self.prev)) and key[shared] == self.prev[shared]:
                 shared += 1
+        else:
+            self.restarts.append(len(self.block))
         value = ids.astype("<u2" if self.width == 2 else "<u4").tobytes()
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         self.prev, self.in_block = key, self.in_block + 1
@@ -111,9 +115,10 @@ class Writer:
 
     def _flush(self) -> None:
         if self.in_block:
-            data = self.zip.compress(bytes(self.block))
+            n = len(self.restarts)
+            data = self.zip.compress(bytes(self.block) + struct.pack(f"<{n + 1}I", *self.restarts, n))
             self.index.append((self.prev, self._put(data), len(data)))
-            self.block, self.in_block = bytearray(), 0
+            self.block, self.in_block, self.restarts = bytearray(), 0, []
 
     def close(self) -> None:
         self._flush()
@@ -147,11 +152,16 @@ class Reader:
             at += n + 12
         self.unzip = zstandard.ZstdDecompressor()
 
-    def block(self, i: int) -> Iterator[tuple[bytes, np.ndarray]]:
+    def block(self, i: int, least: bytes = b"") -> Iterator[tuple[bytes, np.ndarray]]:
+        """The entries of a block, from the last restart whose key is under ``least``."""
         _, at, n = self.index[i]
         self.file.seek(at)
-        buf, at, key = self.unzip.decompress(self.file.read(n)), 0, b""
-        while at < len(buf):
+        buf = self.unzip.decompress(self.file.read(n))
+        (n,) = struct.unpack_from("<I", buf, len(buf) - 4)
+        end = len(buf) - 4 * (n + 1)
+        restarts = struct.unpack_from(f"<{n}I", buf, end)
+        at, key = restarts[max(0, bisect.bisect_left(range(n), least, key=lambda k: self._restart_key(buf, restarts[k])) - 1)], b""
+        while at < end:
             shared, at = _read_varint(buf, at)
             rest, at = _read_varint(buf, at)
             size, at = _read_varint(buf, at)
@@ -160,6 +170,13 @@ class Reader:
             yield key, np.frombuffer(buf, "<u2" if self.width == 2 else "<u4", size // self.width, at)
             at += size
 
+    @staticmethod
+    def _restart_key(buf: bytes, at: int) -> bytes:
+        _, at = _read_varint(buf, at)
+        rest, at = _read_varint(buf, at)
+        _, at = _read_varint(buf, at)
+        return buf[at : at + rest]
+
     def scan(self) -> Iterator[tuple[bytes, np.ndarray]]:
         for i in range(len(self.index)):
             yield from self.block(i)
@@ -171,7 +188,7 @@ class Reader:
             return out
         i = bisect.bisect_left(self.index, key, key=lambda e: e[0])
         while i < len(self.index):
-            for k, ids in self.block(i):
+            for k, ids in self.block(i, key):
                 if k > key:
                     return out
                 if k == key:
@@ -209,10 +226,14 @@ class Pieces(dict):
         self.model = model
 
     def __missing__(self, piece: str) -> list[int]:
+        ids = self[piece] = self.fresh(piece)
+        return ids
+
+    def fresh(self, piece: str) -> list[int]:
+        """The ids of a piece that is not kept here."""
         plain = piece.isascii() and piece.isprintable()
         shown = piece.replace(" ", BYTE_CHARS[32]) if plain else piece.encode().decode("latin-1").translate(BYTE_CHARS)
-        ids = self[piece] = [t.id for t in self.model.tokenize(shown)]
-        return ids
+        return [t.id for t in self.model.tokenize(shown)]
 
 
 class WordwiseEncoder:
@@ -221,7 +242,9 @@ class WordwiseEncoder:
     The pre-tokenizer of such a vocabulary never puts a non-space before a space into one piece, so a text may be
     cut before every single space that stands between two non-white characters; what the library makes of the
     runs one by one is what it makes of the text, and so for the pieces inside a run. Where white space meets white space nothing is cut. A tokenizer
-    with any other pre-tokenizer gets whole texts.
+    with any other pre-tokenizer, or with an added token that holds white space, gets whole texts.
+
+    A batch is cut by Arrow, which also numbers its distinct runs, so Python meets each distinct run of a batch once.
 
     Runs are cached without the space in front of them; a text's first run, which has none, is encoded by itself.
     """
@@ -233,7 +256,7 @@ class WordwiseEncoder:
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.n_vocab = self.lib.get_vocab_size(with_added_tokens=True)
         spec = self.lib.to_str()
-        self.wordwise = '"pre_tokenizer":{"type":"ByteLevel","add_prefix_space":false' in spec and '"use_regex":true' in spec and '"normalizer":null' in spec
+        self.wordwise = '"pre_tokenizer":{"type":"ByteLevel","add_prefix_space":false' in spec and '"use_regex":true' in spec and '"normalizer":null' in spec and not any(c.isspace() for t in self.special for c in t)
         self._reset()
 
     def _reset(self) -> None:
@@ -253,10 +276,10 @@ class WordwiseEncoder:
     def _learn(self) -> None:
         """Encode the runs seen since the last call."""
         new, self.codes.new = self.codes.new, []
-        get, ids, odd = self.pieces.__getitem__, [], []
+        get, fresh, ids, odd = self.pieces.__getitem__, self.pieces.fresh, [], []
         for k, r in enumerate(new):
             if r.isalpha():  # one piece
-                ids.append(get(" " + r))
+                ids.append(fresh(" " + r))
             elif r[-1:] in CLOSING and r[:-1].isalpha():  # two
                 ids.append(get(" " + r[:-1]) + get(r[-1]))
             else:
@@ -282,27 +305,35 @@ class WordwiseEncoder:
                 out.append(p)
         return out
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a string array without nulls."""
         if not self.wordwise:
-            yield from (np.array(x, np.uint32) for x in self._lib(texts))
+            yield from (np.array(x, np.uint32) for x in self._lib(texts.to_pylist()))
             return
         if len(self.codes) > CACHE_WORDS:
             self._reset()
         get = self.codes.__getitem__
-        parts = [t.split(" ") for t in texts]
-        codes = [np.fromiter(map(get, p[1:]), np.int64, len(p) - 1) for p in parts]
+        parts = pc.split_pattern(texts, " ")
+        bounds, flat = parts.offsets.to_numpy().astype(np.int64), parts.values
+        runs = flat.dictionary_encode()
+        words = runs.dictionary.to_pylist()
+        known = np.fromiter(map(get, words), np.int64, len(words))
         self._learn()
-        for k, (p, c) in enumerate(zip(parts, codes)):
-            if p[0] == "" or p[0][-1].isspace() or self.odd[c].any():
-                parts[k] = p = self._merged(p)
-                codes[k] = np.fromiter(map(get, p[1:]), np.int64, len(p) - 1)
+        codes = known[runs.indices.to_numpy()]
+        heads = flat.take(pa.array(bounds[:-1])).to_pylist()
+        odd = np.concatenate([[0], np.cumsum(self.odd[codes])])
+        # a text's first run is encoded by itself, so it alone does not make white space meet white space
+        again = [k for k, h in enumerate(heads) if h == "" or h[-1].isspace() or odd[bounds[k + 1]] > odd[bounds[k] + 1]]
+        merged = {k: self._merged(flat.slice(bounds[k], bounds[k + 1] - bounds[k]).to_pylist()) for k in again}
+        own = {k: np.fromiter(map(get, p[1:]), np.int64, len(p) - 1) for k, p in merged.items()}
         self._learn()
-        first = self._lib([p[0] for p in parts])
-        off = self.off
-        for head, c in zip(first, codes):
-            n = off[c + 1] - off[c]
-            at = np.repeat(off[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            yield np.concatenate([np.array(head, np.uint32), self.flat[at]])
+        first = self._lib([merged[k][0] if k in merged else h for k, h in enumerate(heads)])
+        table = pa.ListArray.from_arrays(pa.array(self.off.astype(np.int32)), pa.array(self.flat))
+        found = table.take(pa.array(codes))
+        ids, at = found.values.to_numpy(), found.offsets.to_numpy()
+        for k, head in enumerate(first):
+            rest = table.take(pa.array(own[k])).values.to_numpy() if k in own else ids[at[bounds[k] + 1] : at[bounds[k + 1]]]
+            yield np.concatenate([np.array(head, np.uint32), rest])
 
 
 _encoders: dict[str, WordwiseEncoder] = {}
@@ -333,17 +364,15 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 2,
         part, enc, w, fs, tmp, prev = TaskContext.get().partitionId(), encoder(tokenizer), None, None, None, b""
         first = None
         for batch in batches:
-            docs_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 500):
-                for d, ids in zip(docs_[lo : lo + 500], enc.encode(texts[lo : lo + 500])):
-                    if w is None:
-                        fs, root = pafs.FileSystem.from_uri(out_dir)
-                        fs.create_dir(root, recursive=True)
-                        tmp, final = f"{root}/.{part:06d}-{uuid.uuid4().hex}", f"{root}/{part:06d}.sst"
-                        out = fs.open_output_stream(tmp)
-                        w, first = Writer(out, 2 if max(enc.n_vocab - 1, end_id) < 1 << 16 else 4), d
-                    w.add(key_of(d), np.append(ids, np.uint32(end_id)))
-                    prev = d
+            for d, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1))):
+                if w is None:
+                    fs, root = pafs.FileSystem.from_uri(out_dir)
+                    fs.create_dir(root, recursive=True)
+                    tmp, final = f"{root}/.{part:06d}-{uuid.uuid4().hex}", f"{root}/{part:06d}.sst"
+                    out = fs.open_output_stream(tmp)
+                    w, first = Writer(out, 2 if max(enc.n_vocab - 1, end_id) < 1 << 16 else 4), d
+                w.add(key_of(d), np.append(ids, np.uint32(end_id)))
+                prev = d
         if w is not None:
             w.close()
             out.close()

@@ -9,7 +9,7 @@ X-Source-. Record ids are derived from the source's id and digest, so a repeated
 All of it is DataFrame functions: the derivation is one narrow projection over the responses, without a shuffle.
 
 Defined cases: a null payload counts as empty; null headers are left out; repeated rows give repeated records, which
-share ids; an empty table gives no rows; other columns pass by; text and lengths cover whole payloads. Lengths are in bytes.
+share ids; an empty table gives no rows; other columns pass by; text and lengths cover whole payloads. Lengths are in bytes. Line breaks in a URL are percent-encoded in files.
 """
 
 from __future__ import annotations
@@ -62,7 +62,10 @@ def derived_id(kind: str, source: Column, digest: Column) -> Column:
 
 
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Response records of raw pages (page_id, url, html): the input that ``derive`` takes."""
+    """Response records of raw pages (page_id, url, html): the input that ``derive`` takes.
+
+    Such a table has no status, headers or date, so these are constants here; ``derive`` takes what its input says.
+    """
     payload = F.coalesce("html", F.lit(""))
     return pages.select(
         F.col("page_id").cast("long").alias("page_id"), derived_id("response", F.coalesce(F.col("page_id").cast("string"), F.lit("")), sha(payload)).alias("record_id"),
@@ -103,9 +106,14 @@ def digest(pages: DataFrame) -> DataFrame:
 HEADERS = (("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"), ("Content-Type", "mime"), ("WARC-Source-Payload-Digest", "source_payload_digest"), ("WARC-Block-Digest", "block_digest"), ("Content-Length", "content_length"))
 
 
+def _one_line(value) -> str:
+    """A header value; a line break, which would end the header, is written as in a URL."""
+    return str(value).replace("\r", "%0D").replace("\n", "%0A")
+
+
 def record_bytes(row: dict) -> bytes:
     block = (row["block"] or "").encode()
-    head = ["WARC/1.1", *(f"{k}: {row[c]}" for k, c in HEADERS if row[c] is not None)] + ([row["source_headers"]] if row["source_headers"] else [])
+    head = ["WARC/1.1", *(f"{k}: {_one_line(row[c])}" for k, c in HEADERS if row[c] is not None)] + ([row["source_headers"]] if row["source_headers"] else [])
     return CRLF.join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 

@@ -18,7 +18,7 @@ def test_small_shards_merge_and_every_version_reads_whole(spark):
     for version in (7, after["version"]):
         assert store.read(version).agg(F.countDistinct("id"), F.count("*")).first() == (3500, 3500)
     assert store.read(3).count() == 1500
-    assert store.vacuum() > 0 and store.read().count() == 3500 and store.versions() == [after["version"]]
+    assert store.vacuum(keep=1) > 0 and store.read().count() == 3500 and store.versions() == [after["version"]]
     assert not store.runs(store.manifest()["shards"])
 
 
@@ -34,6 +34,39 @@ def test_only_one_of_two_writers_commits_a_version(spark):
         store.append(spark.range(5).selectExpr("id as other"))
 
 
+def test_arrivals_of_unlike_size_merge_by_tier(spark):
+    store = compaction.Store(spark, shared_dir(spark, "store"), target=200_000, floor=3_000, fanout=3)
+    sizes = [40, 40, 3000, 40, 700, 40, 700, 40, 700, 40, 8000]
+    for k, n in enumerate(sizes):
+        store.append(spark.range(n).select((F.col("id") + 100_000 * k).alias("id"), F.sha2(F.concat(F.lit(str(k)), "id"), 256).alias("x")).coalesce(1))
+        store.compact()
+        shards = store.manifest()["shards"]
+        assert sum(s.rows for s in shards) == sum(sizes[: k + 1]) and not store.runs(shards)
+    levels = {s.rows: s.level for s in store.manifest()["shards"]}
+    assert levels[8000] == 0 and max(levels.values()) >= 1 and len(levels) < len(sizes)
+    rows = store.read()
+    assert rows.count() == sum(sizes) == rows.select("id").distinct().count()
+    versions = store.versions()
+    assert versions == list(range(1, len(versions) + 1)) and len(versions) > len(sizes)
+    assert [store.read(v).count() for v in versions if v <= 2] == [40, 80]
+
+
+def test_vacuum_spares_what_a_writer_has_not_committed_yet(spark):
+    store = compaction.Store(spark, shared_dir(spark, "store"))
+    store.append(spark.range(5))
+    other = compaction.Store(spark, store.path)
+    run = other._begin()
+    new = other._write(spark.range(5, 9), 0, run)
+    assert store.vacuum(keep=1) == 0
+    base = other.manifest()
+    other.commit(base, base["schema"], base["shards"] + new)
+    other._end(run)
+    assert store.vacuum(keep=1) == 0 and store.read().count() == 9
+    dead = other._begin()
+    other._write(spark.range(3), 0, dead)
+    assert store.vacuum(keep=1, grace=-10) > 0 and store.read().count() == 9
+
+
 def test_empty_arrivals_and_nulls(spark):
     store = compaction.Store(spark, shared_dir(spark, "store"))
     with pytest.raises(ValueError):
@@ -49,8 +82,8 @@ def pages(spark):
     rows = [
         (1, "http://a/", "<html><head><title>T &amp; x</title><style>p{}</style></head><body><p>Hi<br>there</p><script>var a='</p>';</script><a href='/x'>l</a></body></html>"),
         (2, None, None),
-        (3, "http://c/", ""),
-        (3, "http://c/", ""),
+        (3, "http://c/\r\nx: y", ""),
+        (3, "http://c/\r\nx: y", ""),
         (None, "http://d/", "plain é text < 3"),
     ]
     return spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("block", F.lit(1))
@@ -76,6 +109,7 @@ def test_files_round_trip(spark):
     assert sum(f["records"] for f in files) == len(back) == 10
     expected = sorted((r["record_id"], r["block"].encode()) for r in records.collect())
     assert sorted((h["WARC-Record-ID"], b) for h, b in back) == expected
+    assert {h["WARC-Target-URI"] for h, _ in back if "WARC-Target-URI" in h} == {"http://a/", "http://c/%0D%0Ax: y", "http://d/"}
     assert warc.digest(pages(spark).limit(0)).count() == 0
 
 
