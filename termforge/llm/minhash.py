@@ -163,14 +163,14 @@ def frequency_sketch(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+def prefixes(sets: DataFrame, percent: int, frequency: np.ndarray) -> DataFrame:
     """(key, node, n): each node's rarest shingles, of which a linked node has at least one among its own.
 
     Linked sets differ in so few shingles that, in any one order of all shingles, their first
-    n - ceil(percent * n / 100) + 1 meet. Shingles that occur once in the sketch meet nothing and are left out.
+    n - ceil(percent * n / 100) + 1 meet. The order is by ``frequency``, a sketch over these sets or more; shingles that occur
+    once in it meet nothing and are left out.
     """
-    spark = sets.sparkSession
-    order = spark.sparkContext.broadcast(frequency_sketch(sets))
+    order = sets.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batches):
         freq = order.value
@@ -294,7 +294,7 @@ def links(docs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     work.drop("hubs", "apart")
     if not wide.isEmpty():
         few = work.write(sets.join(wide, "node", "left_semi"), "few")
-        tokens = work.write(_shared(prefixes(few, percent)), "tokens")
+        tokens = work.write(_shared(prefixes(few, percent, frequency_sketch(sets))), "tokens")
         hubs = work.write(_hubs(tokens, percent), "token_hubs")
         second = work.write(found[0].unionAll(found[1]).unionAll(confirm(hubs, few, percent)), "second")
         ends = second.select(F.col("a").alias("node")).unionAll(second.select(F.col("b").alias("node"))).distinct()
