@@ -11,7 +11,7 @@ the stretch. Equal stretches hold equal cores at equal places, so stretches can
    are an enhanced suffix array, sparse in that it has one suffix for each context. A stack scan gives the intervals of its
    common-prefix tree: the contexts that share ``behind`` bytes behind the core and then differ.
 4. The members of an interval that also share the 84 - ``behind`` bytes before the core have a stretch in common. They are
-   sorted by their left extensions and scanned in the same way: each interval of left extensions is diverse on its left and
+   sorted by their left extensions and scanned in the same way, where the interval was found: each interval of left extensions is diverse on its left and
    shares ``before`` bytes; one that is diverse on its right too is a maximal repeat of before + 116 + behind bytes, put
    out with all its occurrences.
 5. How far the groups of a context reach is joined back to all places, merged per document, and cut.
@@ -143,22 +143,18 @@ def whole_groups(batches, least: int = 20_000):
         yield t, _parts(t)
 
 
-def memberships(t: pa.Table, at: np.ndarray, edges: dict | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, depth, interval) for each row and each interval of the prefix tree of ``s`` that it is in.
+def tree_rows(lcp: np.ndarray, at: np.ndarray, over: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, depth, interval) for each row and each interval of its group's prefix tree that it is in.
 
-    ``at``: where groups begin. Intervals that lie inside are numbered; those that go over the borders of a chunk
-    of a dealt group (see ``borders``) have no number (-1), and their other members are in other chunks.
+    ``at``: where groups begin, and lcp is -1. Intervals that lie inside are numbered. ``over`` has the borders of each group (see
+    ``borders``) if groups are chunks of dealt ones; intervals that go over them have no number (-1), and their other members are elsewhere.
     """
-    x, size = matrix(t.column("s").chunk(0))
-    lcp = common(x, size)
-    lcp[at] = -1
     found = np.array(list(prefix_intervals(lcp.tolist())), np.int64).reshape(-1, 3)
     rows, depths, numbers = [], [], []
-    if edges:
-        ends, g, chunk = [*at[1:].tolist(), len(lcp)], t.column("g"), t.column("chunk")
-        left, right, part = np.full(len(at), -1), np.full(len(at), -1), np.searchsorted(at, found[:, 1], "right") - 1
-        for k, (lo, hi) in enumerate(zip(at.tolist(), ends)):
-            left[k], right[k], lefts, rights = edges[g[lo].as_py(), chunk[lo].as_py()]
+    if over:
+        ends = np.append(at[1:], len(lcp))
+        part = np.searchsorted(at, found[:, 1], "right") - 1
+        for lo, hi, (_, _, lefts, rights) in zip(at.tolist(), ends.tolist(), over):
             head = np.minimum.accumulate(np.concatenate([[REACH], lcp[lo + 1 : hi]]))
             tail = np.minimum.accumulate(np.concatenate([[REACH], lcp[lo + 1 : hi][::-1]]))[::-1]
             for d in sorted({*lefts, *rights}):
@@ -166,8 +162,9 @@ def memberships(t: pa.Table, at: np.ndarray, edges: dict | None) -> tuple[np.nda
                 rows.append(own)
                 depths.append(np.full(len(own), d))
                 numbers.append(np.full(len(own), -1))
-        over = ((found[:, 1] == at[part]) & (found[:, 0] <= left[part])) | ((found[:, 2] == np.array(ends)[part] - 1) & (found[:, 0] <= right[part]))
-        found = found[~over]
+        left, right = np.array([o[0] for o in over]), np.array([o[1] for o in over])
+        out = ((found[:, 1] == at[part]) & (found[:, 0] <= left[part])) | ((found[:, 2] == ends[part] - 1) & (found[:, 0] <= right[part]))
+        found = found[~out]
     n = found[:, 2] - found[:, 1] + 1
     rows.append(np.repeat(found[:, 1] - np.cumsum(n) + n, n) + np.arange(n.sum()))
     depths.append(np.repeat(found[:, 0], n))
@@ -175,6 +172,25 @@ def memberships(t: pa.Table, at: np.ndarray, edges: dict | None) -> tuple[np.nda
     return np.concatenate(rows).astype(np.int64), np.concatenate(depths).astype(np.int64), np.concatenate(numbers).astype(np.int64)
 
 
+def memberships(t: pa.Table, at: np.ndarray, edges: dict | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``tree_rows`` of the strings ``s`` of sorted rows, whose groups begin at ``at``; ``edges``: the borders of dealt groups."""
+    lcp = common(*matrix(t.column("s").chunk(0)))
+    lcp[at] = -1
+    g, chunk = t.column("g"), t.column("chunk")
+    return tree_rows(lcp, at, edges and [edges[g[i].as_py(), chunk[i].as_py()] for i in at.tolist()])
+
+
+def both_sides_diverse(number: np.ndarray, nxt: np.ndarray) -> np.ndarray:
+    """Which rows are in intervals that go on with different bytes ``nxt`` (-1: with none), or in intervals without a number."""
+    inside = np.flatnonzero(number >= 0)
+    low, high = np.full(number.max(initial=-1) + 1, 256), np.full(number.max(initial=-1) + 1, -2)
+    np.minimum.at(low, number[inside], nxt[inside])
+    np.maximum.at(high, number[inside], nxt[inside])
+    keep = np.ones(len(number), bool)
+    keep[inside] = ((low != high) | (low < 0))[number[inside]]
+    return keep
+
+
 # ---------------------------------------------------------------- Spark
 
 
@@ -249,7 +265,7 @@ def _places(shared):
 
 
 _SUFFIX = "g binary, id long, s binary, back binary"
-_NODE = "g binary, id long, s binary, key long, behind int, next int"
+_NODE = "g binary, id long, s binary, key long, before int, behind int, next int, repeat binary"
 _MEMBER = "key long, ctx long, before int, behind int, next int, repeat binary"
 
 
@@ -275,70 +291,102 @@ def _emitted(shared):
     return run
 
 
-def _right_scan(edges):
-    """For each suffix and each interval of right extensions with a partner there: a row of the interval's stretch.
+def _classes(t: pa.Table, at: np.ndarray, edges: dict | None):
+    """(row, behind, next, number, start): members of intervals of right extensions that share the rest of a stretch on the left.
 
-    g names the stretch of 200 bytes that reaches ``behind`` bytes behind the core; s is what stands before it, backwards.
+    Members are sorted by interval (-1: goes over a border) and by that left side; ``start``: where a class begins. A class inside a chunk that goes on with one byte
+    on the right, so that what it shares is a part of a longer repeat, is left out, and so are single members.
+    """
+    row, behind, number = memberships(t, at, edges)
+    (back, size), (x, length) = (matrix(t.column(c).chunk(0)) for c in ("back", "s"))
+    keep = size[row] >= REACH - behind
+    row, behind, number = row[keep], behind[keep], number[keep]
+    if not len(row):
+        return row, behind, row, number, row
+    h = np.zeros(len(row), np.uint64)
+    for d in np.unique(behind).tolist():
+        for lo in range(0, len(of := np.flatnonzero(behind == d)), 20_000):
+            own = of[lo : lo + 20_000]
+            h[own] = (back[row[own], : REACH - d].astype(np.uint64) + np.uint64(1)) @ _POWERS[: REACH - d]
+    rank = np.empty(len(back), np.int64)
+    rank[np.argsort(np.ascontiguousarray(back).view(np.dtype((np.void, back.shape[1]))).ravel(), kind="stable")] = np.arange(len(back))
+    nxt, inside = np.full(len(row), -1), behind < length[row]
+    nxt[inside] = x[row[inside], behind[inside]]
+    order = np.lexsort((rank[row], h, number))
+    row, behind, nxt, number, h = (v[order] for v in (row, behind, nxt, number, h))
+    new = np.concatenate([[True], (number[1:] != number[:-1]) | (h[1:] != h[:-1])])
+    start = np.flatnonzero(new)
+    n = np.diff(np.append(start, len(row)))
+    low, high = np.minimum.reduceat(nxt, start), np.maximum.reduceat(nxt, start)
+    keep = np.repeat((n > 1) & ((low != high) | (low < 0)), n) | (number < 0)
+    row, behind, nxt, number, new = (v[keep] for v in (row, behind, nxt, number, new))
+    return row, behind, nxt, number, np.flatnonzero(new)
+
+
+def _maximal(t: pa.Table, row: np.ndarray, behind: np.ndarray, nxt: np.ndarray, start: np.ndarray):
+    """(row, before, behind, next) of each member of each maximal repeat of classes that lie in one chunk, by a stack scan of their left extensions."""
+    back, size = matrix(t.column("back").chunk(0))
+    lcp = np.full(len(row), -1, np.int64)
+    for lo in range(1, len(row), 20_000):
+        hi = min(len(row), lo + 20_000)
+        lcp[lo:hi] = common(back[row[lo - 1 : hi]], size[row[lo - 1 : hi]])[1:]
+    lcp[start] = -1
+    at, before, number = tree_rows(lcp, start)
+    keep = (before + behind[at] >= REACH) & both_sides_diverse(number, nxt[at])
+    at, before = at[keep], before[keep]
+    return row[at], before, behind[at], nxt[at]
+
+
+_BINARY, _LONG, _INT = pa.binary(), pa.int64(), pa.int32()
+_NODE_FIELDS = (("g", _BINARY), ("id", _LONG), ("s", _BINARY), ("key", _LONG), ("before", _INT), ("behind", _INT), ("next", _INT), ("repeat", _BINARY))
+
+
+def _nodes(rows: list) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * len(_NODE_FIELDS)
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(cols, _NODE_FIELDS)], names=[n for n, _ in _NODE_FIELDS])
+
+
+def _right_scan(named: bool):
+    """Members of maximal repeats, and of classes that go over a border of chunks (before is null).
+
+    The former are one row for each repeat with its name or, unless ``named``, one row for each context with how far its repeats
+    reach. The latter have in g the name of the stretch of 200 bytes that reaches ``behind`` bytes behind the core, and in s what stands before it, backwards.
     """
 
-    def run(batches):
-        for t, at in whole_groups(batches):
-            row, behind, number = memberships(t, at, edges and edges.value)
-            back, size = matrix(t.column("back").chunk(0))
-            keep = size[row] >= REACH - behind
-            row, behind, number = row[keep], behind[keep], number[keep]
-            h = np.zeros(len(row), np.uint64)
-            for d in np.unique(behind).tolist():
-                for lo in range(0, len(of := np.flatnonzero(behind == d)), 20_000):
-                    own = of[lo : lo + 20_000]
-                    h[own] = (back[row[own], : REACH - d].astype(np.uint64) + np.uint64(1)) @ _POWERS[: REACH - d]
-            x, length = matrix(t.column("s").chunk(0))
-            inside = behind < length[row]
-            nxt = np.full(len(row), -1)
-            nxt[inside] = x[row[inside], behind[inside]]
-            # members of an interval with equal left sides; if they all go on with one byte, what they share is a part of a longer repeat
-            order = np.lexsort((h, number))
-            start = np.flatnonzero(np.concatenate([[True], (number[order][1:] != number[order][:-1]) | (h[order][1:] != h[order][:-1])])) if len(row) else np.zeros(0, np.int64)
-            n = np.diff(np.append(start, len(row)))
-            low, high = (op.reduceat(nxt[order], start) if len(row) else nxt for op in (np.minimum, np.maximum))
-            good = np.zeros(len(row), bool)
-            good[order] = np.repeat((n > 1) & ((low != high) | (low < 0)), n)
-            keep = np.flatnonzero(good | (number < 0))
-            g, ctx, s, b = (t.column(c).to_pylist() for c in ("g", "id", "s", "back"))
-            out: list = []
-            for r, d, e in zip(row[keep].tolist(), behind[keep].tolist(), nxt[keep].tolist()):
-                left = b[r]
-                out.append((xxhash.xxh3_128_digest(g[r] + bytes([d]) + s[r][:d] + left[: REACH - d]), ctx[r], left[REACH - d :], struct.unpack(">q", g[r])[0], d, e))
-            cols = list(zip(*out)) or [()] * 6
-            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=["g", "id", "s", "key", "behind", "next"])
-
-    return run
-
+    def scan(edges):
+        def run(batches):
+            for t, at in whole_groups(batches):
+                row, behind, nxt, number, start = _classes(t, at, edges and edges.value)
+                g, ctx, s, back = (t.column(c).to_pylist() for c in ("g", "id", "s", "back"))
+                stretch = lambda r, d: xxhash.xxh3_128_digest(g[r] + bytes([d]) + s[r][:d] + back[r][: REACH - d])
+                key = lambda r: struct.unpack(">q", g[r])[0]
+                open_ = int((number < 0).sum())  # they come first
+                yield _nodes([(stretch(r, d), ctx[r], back[r][REACH - d :], key(r), None, d, e, None) for r, d, e in zip(row[:open_].tolist(), behind[:open_].tolist(), nxt[:open_].tolist())])
+                row, before, behind, nxt = _maximal(t, row[open_:], behind[open_:], nxt[open_:], start[start >= open_] - open_)
+                if named:
+                    all_ = zip(row.tolist(), before.tolist(), behind.tolist(), nxt.tolist())
+                    yield _nodes([(None, ctx[r], None, key(r), b, d, e, xxhash.xxh3_128_digest(stretch(r, d) + back[r][REACH - d : b])) for r, b, d, e in all_])
+                else:
+                    far = np.full((2, t.num_rows), -1)
+                    np.maximum.at(far[0], row, before)
+                    np.maximum.at(far[1], row, behind)
+                    own = np.flatnonzero(far[0] >= 0)
+                    yield _nodes([(None, ctx[r], None, key(r), b, d, None, None) for r, b, d in zip(own.tolist(), far[0][own].tolist(), far[1][own].tolist())])
 
-def _left_intervals(t: pa.Table, at: np.ndarray, edges: dict | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, more, next) of each member of each interval of left extensions; the group has ``more`` bytes more on the left.
+        return run
 
-    An interval whose members go on with one byte on the right is a part of a longer repeat and left out if it lies in one
-    chunk; if it goes over a border, ``repeat_groups`` tells.
-    """
-    row, more, number = memberships(t, at, edges)
-    nxt = t.column("next").to_numpy()[row]
-    inside = np.flatnonzero(number >= 0)
-    low, high = np.full(number.max(initial=-1) + 1, 256), np.full(number.max(initial=-1) + 1, -2)
-    np.minimum.at(low, number[inside], nxt[inside])
-    np.maximum.at(high, number[inside], nxt[inside])
-    keep = np.ones(len(row), bool)
-    keep[inside] = ((low != high) | (low < 0))[number[inside]]
-    return row[keep], more[keep], nxt[keep]
+    return scan
 
 
 def _left_scan(edges):
-    """A row for each member of each maximal repeat."""
+    """A row for each member of each maximal repeat of classes that go over borders; if they do so on the left too, ``repeat_groups`` tests the right."""
 
     def run(batches):
         for t, at in whole_groups(batches):
-            row, more, nxt = _left_intervals(t, at, edges and edges.value)
+            row, more, number = memberships(t, at, edges and edges.value)
+            nxt = t.column("next").to_numpy()[row]
+            keep = both_sides_diverse(number, nxt)
+            row, more, nxt = row[keep], more[keep], nxt[keep]
             g, s, behind, take = t.column("g").to_pylist(), t.column("s").to_pylist(), t.column("behind").to_numpy()[row], pa.array(row)
             names = [xxhash.xxh3_128_digest(g[r] + s[r][:d]) for r, d in zip(row.tolist(), more.tolist())]
             cols = [t.column("key").chunk(0).take(take), t.column("id").chunk(0).take(take), pa.array((REACH - behind + more).astype(np.int32)), pa.array(behind.astype(np.int32)), pa.array(nxt.astype(np.int32)), pa.array(names, pa.binary())]
@@ -347,22 +395,6 @@ def _left_scan(edges):
     return run
 
 
-def _reach_scan(edges):
-    """Of each member only how far its maximal repeats reach."""
-
-    def run(batches):
-        for t, at in whole_groups(batches):
-            row, more, _ = _left_intervals(t, at, edges and edges.value)
-            most = np.full(t.num_rows, -1)
-            np.maximum.at(most, row, more)
-            own = np.flatnonzero(most >= 0)
-            take, behind = pa.array(own), t.column("behind").to_numpy()[own]
-            cols = [t.column("key").chunk(0).take(take), t.column("id").chunk(0).take(take), pa.array((REACH - behind + most[own]).astype(np.int32)), pa.array(behind.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "ctx", "before", "behind"])
-
-    return run
-
-
 def _summary(batches):
     """First and last string of each chunk and the depths of the intervals that touch them."""
     kind = pa.list_(pa.int32())
@@ -437,7 +469,8 @@ def _each(places: DataFrame) -> DataFrame:
 def _members(places: DataFrame, contexts: DataFrame, work: Scratch, every: bool) -> DataFrame:
     """(key, ctx, before, behind, next, repeat): the contexts of each maximal repeat group.
 
-    Unless ``every``, only how far the groups of a context reach (key, ctx, before, behind), and cores all of whose contexts occur again are left out: they repeat as a whole, whatever else they share.
+    Unless ``every``, a context that is in groups of one chunk only has one row that tells how far they reach, and cores all
+    of whose contexts occur again are left out: they repeat as a whole, whatever else they share.
     """
     spark = places.sparkSession
     open_ = contexts.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("low") == F.col("high")).alias("lone")).where("n > 1" if every else "n > 1 and lone > 0")
@@ -446,9 +479,11 @@ def _members(places: DataFrame, contexts: DataFrame, work: Scratch, every: bool)
         "text", F.expr("cores.at").alias("at"), F.expr("cores.key").alias("key"), F.expr("cores.ctx").alias("ctx"), F.expr("transform(cores, c -> xxhash64(uid, c.at))").alias("ids")
     )
     suffixes = work.write(flat.mapInArrow(_emitted(picked), _SUFFIX), "suffixes")
-    nodes = work.write(scanned(suffixes, _right_scan, _NODE), "nodes")
+    nodes = work.write(scanned(suffixes, _right_scan(every), _NODE), "nodes")
     work.drop("suffixes")
-    return scanned(nodes, _left_scan, _MEMBER) if every else scanned(nodes, _reach_scan, "key long, ctx long, before int, behind int")
+    inside = nodes.where("before is not null").select("key", F.col("id").alias("ctx"), "before", "behind", "next", "repeat")
+    over = work.write(nodes.where("before is null").select("g", "id", "s", "key", "behind", "next"), "over")
+    return inside.unionByName(scanned(over, _left_scan, _MEMBER))
 
 
 def repeat_groups(docs: DataFrame) -> DataFrame:
@@ -476,11 +511,11 @@ def marked(docs: DataFrame) -> DataFrame:
     """Every row of ``docs``: uid, doc_id, n_bytes, sha, text (bytes; null if nothing can repeat), spans (start, end)."""
     work, kept = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
     places, contexts = _located(docs, kept)
-    members = _members(places, contexts, work, False)
+    members = _members(places, contexts, work, False).select("key", "ctx", "before", "behind")
     whole = contexts.where("low <> high").select("key", "ctx", F.lit(REACH).alias("before"), F.lit(REACH).alias("behind"))
     reach = members.unionByName(whole).groupBy("key", "ctx").agg(F.max("before").alias("before"), F.max("behind").alias("behind"))  # all hold the core: one stretch
     reach = work.write(reach, "reach")
-    work.drop("nodes")
+    work.drop("nodes", "over")
     kept.drop("contexts")
     met = _each(places).join(reach, ["key", "ctx"]).select("uid", F.expr("at - before").alias("lo"), F.expr("at + %d + behind" % CORE).alias("hi"))
     spans = kept.write(met.distinct().groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans")), "spans")
