@@ -16,7 +16,7 @@ the stretch. Equal stretches hold equal cores at equal places, so stretches can
    out with all its occurrences.
 5. How far the groups of a context reach is joined back to all places, merged per document, and cut.
 
-No task holds more of a core or interval than an even share. What has more contexts is dealt out by sampled cut points of
+No task holds more of a core or interval than an even share, nor more than one interval or ``PART`` members of intervals at once. What has more contexts is dealt out by sampled cut points of
 the sort order, so that a chunk is a stretch of the suffix array. Chunks tell their ends and the depths of the intervals
 that touch them - two strings and at most 168 numbers each; from these the intervals that go over chunk borders are found,
 and then every chunk knows which of them its members belong to. Groups are named by their content, so members from different chunks meet.
@@ -50,6 +50,7 @@ REACH = (LENGTH - GRAM) // 2  # 84: a stretch starts at most so far before its c
 CORE = LENGTH - REACH  # 116
 BITS = 26
 SHARE = 1024  # a core or interval of fewer members is never dealt out
+PART = 100_000  # memberships in memory: a member may be in an interval for each of REACH depths
 SAMPLES = 8  # sampled members for each chunk of a dealt one
 _POWERS = np.random.default_rng(20240302).integers(0, 1 << 64, REACH, np.uint64) | np.uint64(1)
 
@@ -124,7 +125,7 @@ def _parts(t: pa.Table) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]).any(1) | (chunk[1:] != chunk[:-1])]))
 
 
-def whole_groups(batches, least: int = 20_000):
+def whole_groups(batches, least: int = 8192):
     """Tables of whole (g, chunk) groups and where these begin, from batches of sorted rows."""
     held, n, enough = [], 0, least
     for batch in batches:
@@ -143,41 +144,54 @@ def whole_groups(batches, least: int = 20_000):
         yield t, _parts(t)
 
 
-def tree_rows(lcp: np.ndarray, at: np.ndarray, over: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, depth, interval) for each row and each interval of its group's prefix tree that it is in.
+def tree_parts(lcp: np.ndarray, at: np.ndarray, over: list | None = None):
+    """(row, depth, interval) for each row and each interval of its group's prefix tree that it is in, some whole intervals at a time.
 
-    ``at``: where groups begin, and lcp is -1. Intervals that lie inside are numbered. ``over`` has the borders of each group (see
+    ``at``: where groups begin, and lcp is -1. Intervals that lie inside are numbered, from 0 in each part. ``over`` has the borders of each group (see
     ``borders``) if groups are chunks of dealt ones; intervals that go over them have no number (-1), and their other members are elsewhere.
     """
     found = np.array(list(prefix_intervals(lcp.tolist())), np.int64).reshape(-1, 3)
-    rows, depths, numbers = [], [], []
     if over:
         ends = np.append(at[1:], len(lcp))
         part = np.searchsorted(at, found[:, 1], "right") - 1
+        held, n = [], 0
         for lo, hi, (_, _, lefts, rights) in zip(at.tolist(), ends.tolist(), over):
             head = np.minimum.accumulate(np.concatenate([[REACH], lcp[lo + 1 : hi]]))
             tail = np.minimum.accumulate(np.concatenate([[REACH], lcp[lo + 1 : hi][::-1]]))[::-1]
             for d in sorted({*lefts, *rights}):
                 own = lo + np.flatnonzero(((head >= d) if d in lefts else False) | ((tail >= d) if d in rights else False) | (head[-1] >= d))
-                rows.append(own)
-                depths.append(np.full(len(own), d))
-                numbers.append(np.full(len(own), -1))
+                held.append((own, np.full(len(own), d), np.full(len(own), -1)))
+                n += len(own)
+                if n >= PART:
+                    yield tuple(np.concatenate(c).astype(np.int64) for c in zip(*held))
+                    held, n = [], 0
+        if held:
+            yield tuple(np.concatenate(c).astype(np.int64) for c in zip(*held))
         left, right = np.array([o[0] for o in over]), np.array([o[1] for o in over])
         out = ((found[:, 1] == at[part]) & (found[:, 0] <= left[part])) | ((found[:, 2] == ends[part] - 1) & (found[:, 0] <= right[part]))
         found = found[~out]
-    n = found[:, 2] - found[:, 1] + 1
-    rows.append(np.repeat(found[:, 1] - np.cumsum(n) + n, n) + np.arange(n.sum()))
-    depths.append(np.repeat(found[:, 0], n))
-    numbers.append(np.repeat(np.arange(len(n)), n))
-    return np.concatenate(rows).astype(np.int64), np.concatenate(depths).astype(np.int64), np.concatenate(numbers).astype(np.int64)
+    size = found[:, 2] - found[:, 1] + 1
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // PART)) + 1
+    for first, n in zip(np.split(found, cuts), np.split(size, cuts)):
+        rows = np.repeat(first[:, 1] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        yield rows.astype(np.int64), np.repeat(first[:, 0], n), np.repeat(np.arange(len(n)), n)
 
 
-def memberships(t: pa.Table, at: np.ndarray, edges: dict | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``tree_rows`` of the strings ``s`` of sorted rows, whose groups begin at ``at``; ``edges``: the borders of dealt groups."""
+def _strings(t: pa.Table, at: np.ndarray, edges: dict | None) -> tuple:
+    """What ``tree_parts`` takes for the strings ``s`` of sorted rows, whose groups begin at ``at``; ``edges``: the borders of dealt groups."""
     lcp = common(*matrix(t.column("s").chunk(0)))
     lcp[at] = -1
     g, chunk = t.column("g"), t.column("chunk")
-    return tree_rows(lcp, at, edges and [edges[g[i].as_py(), chunk[i].as_py()] for i in at.tolist()])
+    return lcp, at, edges and [edges[g[i].as_py(), chunk[i].as_py()] for i in at.tolist()]
+
+
+def memberships(t: pa.Table, at: np.ndarray, edges: dict | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ``tree_parts`` of ``_strings`` in one, numbered through."""
+    parts, base = [], 0
+    for row, depth, number in tree_parts(*_strings(t, at, edges)):
+        parts.append((row, depth, np.where(number < 0, -1, number + base)))
+        base += number.max(initial=-1) + 1
+    return tuple(np.concatenate(c) for c in zip(*parts))
 
 
 def both_sides_diverse(number: np.ndarray, nxt: np.ndarray) -> np.ndarray:
@@ -291,50 +305,49 @@ def _emitted(shared):
     return run
 
 
-def _classes(t: pa.Table, at: np.ndarray, edges: dict | None):
-    """(row, behind, next, number, start): members of intervals of right extensions that share the rest of a stretch on the left.
+def _classes(t: pa.Table, at: np.ndarray, edges: dict | None, back: np.ndarray, size: np.ndarray):
+    """(row, behind, next, number, start), part by part: members of intervals of right extensions that share the rest of a stretch on the left.
 
-    Members are sorted by interval (-1: goes over a border) and by that left side; ``start``: where a class begins. A class inside a chunk that goes on with one byte
-    on the right, so that what it shares is a part of a longer repeat, is left out, and so are single members.
+    Members are sorted by interval (-1: goes over a border) and by that left side, ``back`` (of lengths ``size``); ``start``: where a class begins. A class inside a chunk
+    that goes on with one byte on the right, so that what it shares is a part of a longer repeat, is left out, and so are single members.
     """
-    row, behind, number = memberships(t, at, edges)
-    (back, size), (x, length) = (matrix(t.column(c).chunk(0)) for c in ("back", "s"))
-    keep = size[row] >= REACH - behind
-    row, behind, number = row[keep], behind[keep], number[keep]
-    if not len(row):
-        return row, behind, row, number, row
-    h = np.zeros(len(row), np.uint64)
-    for d in np.unique(behind).tolist():
-        for lo in range(0, len(of := np.flatnonzero(behind == d)), 20_000):
-            own = of[lo : lo + 20_000]
-            h[own] = (back[row[own], : REACH - d].astype(np.uint64) + np.uint64(1)) @ _POWERS[: REACH - d]
+    x, length = matrix(t.column("s").chunk(0))
     rank = np.empty(len(back), np.int64)
     rank[np.argsort(np.ascontiguousarray(back).view(np.dtype((np.void, back.shape[1]))).ravel(), kind="stable")] = np.arange(len(back))
-    nxt, inside = np.full(len(row), -1), behind < length[row]
-    nxt[inside] = x[row[inside], behind[inside]]
-    order = np.lexsort((rank[row], h, number))
-    row, behind, nxt, number, h = (v[order] for v in (row, behind, nxt, number, h))
-    new = np.concatenate([[True], (number[1:] != number[:-1]) | (h[1:] != h[:-1])])
-    start = np.flatnonzero(new)
-    n = np.diff(np.append(start, len(row)))
-    low, high = np.minimum.reduceat(nxt, start), np.maximum.reduceat(nxt, start)
-    keep = np.repeat((n > 1) & ((low != high) | (low < 0)), n) | (number < 0)
-    row, behind, nxt, number, new = (v[keep] for v in (row, behind, nxt, number, new))
-    return row, behind, nxt, number, np.flatnonzero(new)
-
-
-def _maximal(t: pa.Table, row: np.ndarray, behind: np.ndarray, nxt: np.ndarray, start: np.ndarray):
-    """(row, before, behind, next) of each member of each maximal repeat of classes that lie in one chunk, by a stack scan of their left extensions."""
-    back, size = matrix(t.column("back").chunk(0))
+    for row, behind, number in tree_parts(*_strings(t, at, edges)):
+        keep = size[row] >= REACH - behind
+        row, behind, number = row[keep], behind[keep], number[keep]
+        if not len(row):
+            continue
+        h = np.zeros(len(row), np.uint64)
+        for d in np.unique(behind).tolist():
+            for lo in range(0, len(of := np.flatnonzero(behind == d)), 20_000):
+                own = of[lo : lo + 20_000]
+                h[own] = (back[row[own], : REACH - d].astype(np.uint64) + np.uint64(1)) @ _POWERS[: REACH - d]
+        nxt, inside = np.full(len(row), -1), behind < length[row]
+        nxt[inside] = x[row[inside], behind[inside]]
+        order = np.lexsort((rank[row], h, number))
+        row, behind, nxt, number, h = (v[order] for v in (row, behind, nxt, number, h))
+        new = np.concatenate([[True], (number[1:] != number[:-1]) | (h[1:] != h[:-1])])
+        start = np.flatnonzero(new)
+        n = np.diff(np.append(start, len(row)))
+        low, high = np.minimum.reduceat(nxt, start), np.maximum.reduceat(nxt, start)
+        keep = np.repeat((n > 1) & ((low != high) | (low < 0)), n) | (number < 0)
+        row, behind, nxt, number, new = (v[keep] for v in (row, behind, nxt, number, new))
+        yield row, behind, nxt, number, np.flatnonzero(new)
+
+
+def _maximal(back: np.ndarray, size: np.ndarray, row: np.ndarray, behind: np.ndarray, nxt: np.ndarray, start: np.ndarray):
+    """(row, before, behind, next), part by part, of each member of each maximal repeat of classes that lie in one chunk, by a stack scan of their left extensions."""
     lcp = np.full(len(row), -1, np.int64)
     for lo in range(1, len(row), 20_000):
         hi = min(len(row), lo + 20_000)
         lcp[lo:hi] = common(back[row[lo - 1 : hi]], size[row[lo - 1 : hi]])[1:]
     lcp[start] = -1
-    at, before, number = tree_rows(lcp, start)
-    keep = (before + behind[at] >= REACH) & both_sides_diverse(number, nxt[at])
-    at, before = at[keep], before[keep]
-    return row[at], before, behind[at], nxt[at]
+    for at, before, number in tree_parts(lcp, start):
+        keep = (before + behind[at] >= REACH) & both_sides_diverse(number, nxt[at])
+        at, before = at[keep], before[keep]
+        yield row[at], before, behind[at], nxt[at]
 
 
 _BINARY, _LONG, _INT = pa.binary(), pa.int64(), pa.int32()
@@ -346,6 +359,10 @@ def _nodes(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(cols, _NODE_FIELDS)], names=[n for n, _ in _NODE_FIELDS])
 
 
+def _slices(n: int, size: int = 20_000) -> list[slice]:
+    return [slice(lo, min(n, lo + size)) for lo in range(0, n, size)]
+
+
 def _right_scan(named: bool):
     """Members of maximal repeats, and of classes that go over a border of chunks (before is null).
 
@@ -356,22 +373,24 @@ def _right_scan(named: bool):
     def scan(edges):
         def run(batches):
             for t, at in whole_groups(batches):
-                row, behind, nxt, number, start = _classes(t, at, edges and edges.value)
                 g, ctx, s, back = (t.column(c).to_pylist() for c in ("g", "id", "s", "back"))
                 stretch = lambda r, d: xxhash.xxh3_128_digest(g[r] + bytes([d]) + s[r][:d] + back[r][: REACH - d])
                 key = lambda r: struct.unpack(">q", g[r])[0]
-                open_ = int((number < 0).sum())  # they come first
-                yield _nodes([(stretch(r, d), ctx[r], back[r][REACH - d :], key(r), None, d, e, None) for r, d, e in zip(row[:open_].tolist(), behind[:open_].tolist(), nxt[:open_].tolist())])
-                row, before, behind, nxt = _maximal(t, row[open_:], behind[open_:], nxt[open_:], start[start >= open_] - open_)
-                if named:
-                    all_ = zip(row.tolist(), before.tolist(), behind.tolist(), nxt.tolist())
-                    yield _nodes([(None, ctx[r], None, key(r), b, d, e, xxhash.xxh3_128_digest(stretch(r, d) + back[r][REACH - d : b])) for r, b, d, e in all_])
-                else:
-                    far = np.full((2, t.num_rows), -1)
-                    np.maximum.at(far[0], row, before)
-                    np.maximum.at(far[1], row, behind)
-                    own = np.flatnonzero(far[0] >= 0)
-                    yield _nodes([(None, ctx[r], None, key(r), b, d, None, None) for r, b, d in zip(own.tolist(), far[0][own].tolist(), far[1][own].tolist())])
+                sides, far = matrix(t.column("back").chunk(0)), np.full((2, t.num_rows), -1)
+                for row, behind, nxt, number, start in _classes(t, at, edges and edges.value, *sides):
+                    open_ = int((number < 0).sum())  # they come first
+                    for own in _slices(open_):
+                        yield _nodes([(stretch(r, d), ctx[r], back[r][REACH - d :], key(r), None, d, e, None) for r, d, e in zip(row[own].tolist(), behind[own].tolist(), nxt[own].tolist())])
+                    for row, before, behind, nxt in _maximal(*sides, row[open_:], behind[open_:], nxt[open_:], start[start >= open_] - open_):
+                        if named:
+                            for own in _slices(len(row)):
+                                all_ = zip(row[own].tolist(), before[own].tolist(), behind[own].tolist(), nxt[own].tolist())
+                                yield _nodes([(None, ctx[r], None, key(r), b, d, e, xxhash.xxh3_128_digest(stretch(r, d) + back[r][REACH - d : b])) for r, b, d, e in all_])
+                        else:
+                            np.maximum.at(far[0], row, before)
+                            np.maximum.at(far[1], row, behind)
+                own = np.flatnonzero(far[0] >= 0)
+                yield _nodes([(None, ctx[r], None, key(r), b, d, None, None) for r, b, d in zip(own.tolist(), far[0][own].tolist(), far[1][own].tolist())])
 
         return run
 
@@ -383,14 +402,15 @@ def _left_scan(edges):
 
     def run(batches):
         for t, at in whole_groups(batches):
-            row, more, number = memberships(t, at, edges and edges.value)
-            nxt = t.column("next").to_numpy()[row]
-            keep = both_sides_diverse(number, nxt)
-            row, more, nxt = row[keep], more[keep], nxt[keep]
-            g, s, behind, take = t.column("g").to_pylist(), t.column("s").to_pylist(), t.column("behind").to_numpy()[row], pa.array(row)
-            names = [xxhash.xxh3_128_digest(g[r] + s[r][:d]) for r, d in zip(row.tolist(), more.tolist())]
-            cols = [t.column("key").chunk(0).take(take), t.column("id").chunk(0).take(take), pa.array((REACH - behind + more).astype(np.int32)), pa.array(behind.astype(np.int32)), pa.array(nxt.astype(np.int32)), pa.array(names, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "ctx", "before", "behind", "next", "repeat"])
+            g, s, deep = t.column("g").to_pylist(), t.column("s").to_pylist(), t.column("behind").to_numpy()
+            for row, more, number in tree_parts(*_strings(t, at, edges and edges.value)):
+                nxt = t.column("next").to_numpy()[row]
+                keep = both_sides_diverse(number, nxt)
+                row, more, nxt = row[keep], more[keep], nxt[keep]
+                behind, take = deep[row], pa.array(row)
+                names = [xxhash.xxh3_128_digest(g[r] + s[r][:d]) for r, d in zip(row.tolist(), more.tolist())]
+                cols = [t.column("key").chunk(0).take(take), t.column("id").chunk(0).take(take), pa.array((REACH - behind + more).astype(np.int32)), pa.array(behind.astype(np.int32)), pa.array(nxt.astype(np.int32)), pa.array(names, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "ctx", "before", "behind", "next", "repeat"])
 
     return run
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -164,6 +165,43 @@ def test_memberships_of_chunks_equal_those_of_the_whole():
         assert set(zip(row.tolist(), depth.tolist())) == pairs and len(row) == len(set(zip(row.tolist(), depth.tolist())))
 
 
+def _near_contexts(n):
+    """Sorted suffixes of one core that each follow a common text up to a place of their own, on both sides."""
+    rng = np.random.default_rng(12)
+    text, ends, other = rng.integers(97, 123, 84, "u1"), rng.integers(0, 85, (2, n)), rng.integers(97, 123, (2, n, 84), "u1")
+    right, left = (np.where(np.arange(84) < e[:, None], text, o) for e, o in zip(ends, other))
+    return sorted((right[i].tobytes(), i, left[i].tobytes()) for i in range(n))
+
+
+def _batches(rows):
+    cols = [pa.array([b"00000007"] * len(rows)), pa.array([r[1] for r in rows]), pa.array([r[0] for r in rows]), pa.array([r[2] for r in rows]), pa.array([0] * len(rows), pa.int32())]
+    t = pa.RecordBatch.from_arrays(cols, names=["g", "id", "s", "back", "chunk"])
+    return [t.slice(k, 500) for k in range(0, len(rows), 500)]
+
+
+def test_scan_of_a_large_group_is_bounded_in_memory():
+    batches = _batches(_near_contexts(20_000))
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in repeats._right_scan(False)(None)(batches))
+        assert tracemalloc.get_traced_memory()[1] < 120e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_parts_of_intervals_give_what_the_whole_gives(monkeypatch):
+    class Edges:
+        value = {(b"00000007", 0): (84, 84, [0, 9, 40], [3, 70])}
+
+    got = []
+    for part in (repeats.PART, 60):
+        monkeypatch.setattr(repeats, "PART", part)
+        for named in (True, False):
+            for edges in (None, Edges):
+                got.append(Counter(tuple(r.values()) for b in repeats._right_scan(named)(edges)(_batches(_near_contexts(400))) for r in b.to_pylist()))
+    assert got[:4] == got[4:] and all(got)
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
