@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import gc
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termforge.shared import shared_dir
 
+BITS = 26  # cells of a bitmap of hashes: 2**BITS
+
+
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -41,8 +45,12 @@ class Scratch:
         for path in (found := [self.paths.pop(n) for n in names if n in self.paths]):
             remove(self.spark, path)
         if found:
-            gc.collect()
-            self.spark._jvm.System.gc()
+            self.release()
+
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of what is written, which else stay until the driver happens to collect its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
 
     def clear(self) -> None:
         self.drop(*list(self.paths))
@@ -67,6 +75,20 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def bitmap_of(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of 2**BITS cells in which the 64-bit ``hashes`` (column h) are set."""
+    cell = F.shiftrightunsigned("h", 64 - BITS)
+    words = hashes.select(F.shiftright(cell, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITS}) & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out[words["w"].to_numpy()] = words["m"].to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    cell = h >> np.uint64(64 - BITS)
+    return (bitmap[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1) == 1
+
+
 def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
     """Bound the Arrow batches that go to Python in rows and in bytes, as texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

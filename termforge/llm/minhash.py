@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termforge.llm.common import Scratch, bounded_batches, spread_join, written
+from termforge.llm.common import Scratch, bitmap_of, bounded_batches, in_bitmap, spread_join, written
 from termforge.llm.rolling import Rolling
 
 WIDTH = 5
@@ -127,19 +127,25 @@ def _shared(keys: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, met: DataFrame) -> DataFrame:
-    """(node, n, shingles) of the nodes ``met`` (node, rep): the full sorted set as 8-byte integers, built from the text of row ``rep``."""
+    """(node, n, shingles) of the nodes ``met`` (node, rep): the full sorted set as 8-byte integers, built from the text of row ``rep``.
+
+    Texts are not shuffled: a bitmap of the ``rep`` picks the rows where they are read, and sets that it lets through by chance go by their node.
+    """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(ROW).alias("rep"), "text").join(met, "rep").select("node", "text")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(met.select(F.col("rep").alias("h"))))
 
     def run(batches):
+        bitmap = shared.value
         with np.errstate(over="ignore"):
             for batch in batches:
-                sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-                keep = [xxhash.xxh3_128_digest(x.tobytes()) == node for x, node in zip(sets, batch.column(0).to_pylist())]
-                out = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(out, names=["node", "n", "shingles"]).filter(pa.array(keep, pa.bool_()))
+                picked = pa.array(in_bitmap(bitmap, batch.column(0).to_numpy().view(np.uint64)))
+                sets = [shingle_set(t) for t in batch.column(1).filter(picked).to_pylist()]
+                sets = [x for x in sets if len(x)]
+                out = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, names=["node", "n", "shingles"])
 
-    return rows.mapInArrow(run, "node binary, n long, shingles binary").dropDuplicates(["node"])
+    rows = docs.select(ROW, "text").mapInArrow(run, "node binary, n long, shingles binary").dropDuplicates(["node"])
+    return rows.join(met.select("node"), "node", "left_semi")
 
 
 def _cell(x: np.ndarray) -> np.ndarray:
@@ -279,9 +285,13 @@ def links(docs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     work = Scratch(docs.sparkSession)
     entries = work.write(buckets_of(sketch), "entries")
     reps = sketch.where("node is not null").groupBy("node").agg(F.min(ROW).alias("rep"))
-    sets = work.write(full_sets(docs, reps.join(entries.select("node").distinct(), "node", "left_semi")), "sets")
+    met = work.write(reps.join(entries.select("node").distinct(), "node", "left_semi"), "met")
+    work.release()
+    sets = work.write(full_sets(docs, met), "sets")
+    work.drop("met")
     hubs = work.write(_hubs(entries, percent), "hubs")
     first = work.write(confirm(hubs, sets, percent), "first")
+    work.release()
     # nodes with one confirmed hub are connected; what else a bucket holds is compared across such labels
     label = first.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
     again = label.select(F.col("node").alias("label"), F.col("label").alias("root"))

@@ -41,14 +41,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termforge.llm.common import Scratch, bounded_batches, pieces
+from termforge.llm.common import Scratch, bitmap_of, bounded_batches, in_bitmap, pieces
 from termforge.llm.winnow import anchors
 
 LENGTH = 200
 GRAM = 32
 REACH = (LENGTH - GRAM) // 2  # 84: a stretch starts at most so far before its core
 CORE = LENGTH - REACH  # 116
-BITS = 26
 SHARE = 1024  # a core or interval of fewer members is never dealt out
 PART = 100_000  # memberships in memory: a member may be in an interval for each of REACH depths
 SAMPLES = 8  # sampled members for each chunk of a dealt one
@@ -224,20 +223,6 @@ def cores(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, np.fromiter((digest(text[s : s + CORE]) for s in at.tolist()), np.uint64, len(at))
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """A bitmap of BITS cells in which the 64-bit ``hashes`` (column h) are set."""
-    cell = F.shiftrightunsigned("h", 64 - BITS)
-    words = hashes.select(F.shiftright(cell, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITS}) & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    out = np.zeros(1 << (BITS - 6), np.uint64)
-    out[words["w"].to_numpy()] = words["m"].to_numpy().view(np.uint64)
-    return out
-
-
-def _known(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    cell = h >> np.uint64(64 - BITS)
-    return (bitmap[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1) == 1
-
-
 def _core_counts(batches):
     with np.errstate(over="ignore"):
         for batch in batches:
@@ -264,7 +249,7 @@ def _places(shared):
                 for t in batch.column(2).to_pylist():
                     t = _bytes(t)
                     at, h = cores(t)
-                    use = _known(bitmap, h)
+                    use = in_bitmap(bitmap, h)
                     rows = []
                     for s, k in zip(at[use].tolist(), h[use].view(np.int64).tolist()):
                         c, left = _context(t, s)
@@ -294,7 +279,7 @@ def _emitted(shared):
             for i, t in enumerate(batch.column(0)):
                 if not ids[i]:
                     continue
-                use = np.flatnonzero(_known(picked, np.array(ids[i], np.int64).view(np.uint64))).tolist()
+                use = np.flatnonzero(in_bitmap(picked, np.array(ids[i], np.int64).view(np.uint64))).tolist()
                 text = t.as_py() if use else None
                 for u in use:
                     raw, left = _context(text, at[i][u])
@@ -475,7 +460,7 @@ def _located(docs: DataFrame, work: Scratch) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     bounded_batches(spark, rows=500, size=8 << 20)
     counts = docs.select("text").mapInArrow(_core_counts, "h long").groupBy("h").count().where("count > 1").select("h")
-    again = spark.sparkContext.broadcast(_bitmap(counts))
+    again = spark.sparkContext.broadcast(bitmap_of(counts))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     places = work.write(rows.mapInArrow(_places(again), _PLACES), "places")
     each = _each(places).withColumn("id", F.xxhash64("uid", "at"))
@@ -494,7 +479,7 @@ def _members(places: DataFrame, contexts: DataFrame, work: Scratch, every: bool)
     """
     spark = places.sparkSession
     open_ = contexts.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("low") == F.col("high")).alias("lone")).where("n > 1" if every else "n > 1 and lone > 0")
-    picked = spark.sparkContext.broadcast(_bitmap(contexts.join(open_, "key", "left_semi").select(F.col("low").alias("h"))))
+    picked = spark.sparkContext.broadcast(bitmap_of(contexts.join(open_, "key", "left_semi").select(F.col("low").alias("h"))))
     flat = places.where("text is not null").select(
         "text", F.expr("cores.at").alias("at"), F.expr("cores.key").alias("key"), F.expr("cores.ctx").alias("ctx"), F.expr("transform(cores, c -> xxhash64(uid, c.at))").alias("ids")
     )

@@ -76,6 +76,22 @@ def test_one_row_of_each_group_stays_whatever_the_ids(spark):
     assert minhash.distinct_documents(df.limit(0), 80).count() == 0
 
 
+def test_sets_are_built_where_texts_are_read(spark):
+    rng = random.Random(9)
+    texts = [prose(rng, 40) for _ in range(6)]
+    docs = spark.createDataFrame([(k, t, k) for k, t in enumerate([*texts, None, ""])] + [(0, texts[0], 0)], f"doc_id long, text string, {minhash.ROW} long")
+    with np.errstate(over="ignore"):
+        sets = {k: minhash.shingle_set(texts[k]) for k in (0, 2, 4)}  # hashes so small share one cell of the bitmap, which lets all rows through
+    nodes = {k: minhash.xxhash.xxh3_128_digest(x.tobytes()) for k, x in sets.items()}
+    found = minhash.full_sets(docs, spark.createDataFrame([(bytearray(nodes[k]), k) for k in nodes], "node binary, rep long"))
+    assert sorted((bytes(r["node"]), r["n"], bytes(r["shingles"])) for r in found.collect()) == sorted((nodes[k], len(x), x.tobytes()) for k, x in sets.items())
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+    at = next(k for k, x in enumerate(plan) if "MapInArrow" in x)
+    end = next((k for k in range(at + 1, len(plan)) if depth[k] <= depth[at]), len(plan))
+    assert not any("Join" in x for x in plan[at:end])  # a join there would shuffle whole texts
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), 85).count() == 0
 
