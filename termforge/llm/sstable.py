@@ -20,6 +20,7 @@ the hash of their text, then by it; an empty table gives no shards and no rows;
 from __future__ import annotations
 
 import bisect
+import gc
 import struct
 import uuid
 import zlib
@@ -274,12 +275,25 @@ class WordwiseEncoder:
         return get(parts[0]) if len(parts) == 1 else [i for p in parts for i in get(p)]
 
     def _learn(self) -> None:
-        """Encode the runs seen since the last call."""
+        """Encode the runs seen since the last call.
+
+        Nothing made here is garbage, so Python's collector, which would walk over it again and again, is held meanwhile.
+        """
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            self._encode_new()
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode_new(self) -> None:
         new, self.codes.new = self.codes.new, []
         get, fresh, ids, odd = self.pieces.__getitem__, self.pieces.fresh, [], []
+        tokenize, space = self.lib.model.tokenize, BYTE_CHARS[32]
         for k, r in enumerate(new):
             if r.isalpha():  # one piece
-                ids.append(fresh(" " + r))
+                ids.append([t.id for t in tokenize(space + r)] if r.isascii() else fresh(" " + r))
             elif r[-1:] in CLOSING and r[:-1].isalpha():  # two
                 ids.append(get(" " + r[:-1]) + get(r[-1]))
             else:
@@ -316,7 +330,7 @@ class WordwiseEncoder:
         parts = pc.split_pattern(texts, " ")
         bounds, flat = parts.offsets.to_numpy().astype(np.int64), parts.values
         runs = flat.dictionary_encode()
-        words = runs.dictionary.to_pylist()
+        words = runs.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = np.fromiter(map(get, words), np.int64, len(words))
         self._learn()
         codes = known[runs.indices.to_numpy()]

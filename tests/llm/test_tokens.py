@@ -1,3 +1,4 @@
+import gc
 import random
 import zlib
 from collections import Counter
@@ -30,6 +31,28 @@ def test_runs_encode_as_the_library_does():
     assert not other.wordwise and next(other.encode(pa.array(["Hello  there"]))).tolist() == other.lib.encode("Hello  there", add_special_tokens=False).ids
 
 
+def test_new_runs_are_learnt_without_collections():
+    lib, enc, rng, seen = Tokenizer.from_file(BPE), sstable.WordwiseEncoder(BPE), random.Random(3), []
+    runs = ["".join(rng.choice("abcdeé.,\n7") for _ in range(rng.randrange(2, 9))).strip() or "x" for _ in range(20_000)]
+    enc.codes.new = [r for r in dict.fromkeys(runs) if r not in enc.codes and enc.codes[r] >= 0]
+    gc.collect()
+    gc.callbacks.append(lambda phase, info: seen.append(phase))
+    try:
+        enc._learn()
+        during = len(seen)
+    finally:
+        gc.callbacks.pop()
+    assert during == 0 and gc.isenabled() and len(enc.off) == len(enc.codes) + 1
+    t = [" ".join(runs[i : i + 50]) for i in range(0, 2000, 50)]
+    assert [x.tolist() for x in enc.encode(pa.array(t))] == [lib.encode(x, add_special_tokens=False).ids for x in t]
+    gc.disable()
+    try:
+        next(enc.encode(pa.array(["one new run"])))
+        assert not gc.isenabled()  # one who holds it keeps it held
+    finally:
+        gc.enable()
+
+
 def test_shards_round_trip(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string").selectExpr("*", "'x' as h", "7 as shard")
     manifest = sstable.write_shards(docs, shared_dir(spark, "t"), BPE, shards=3).collect()
