@@ -290,6 +290,7 @@ def links(docs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     sets = work.write(full_sets(docs, met), "sets")
     work.drop("met")
     hubs = work.write(_hubs(entries, percent), "hubs")
+    work.release()  # the files of the last job may still be held when a release comes right after it
     first = work.write(confirm(hubs, sets, percent), "first")
     work.release()
     # nodes with one confirmed hub are connected; what else a bucket holds is compared across such labels
